@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from .mixing import OP7_SQL, op7_pareto_mix
+from .packing import op5_best_fit_packing
+from .quality import OP10_SQL, op10_line_first_quality
 
 QUERIES = {
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op7_pareto_mix": op7_pareto_mix,
+    "op10_line_first_quality": op10_line_first_quality,
 }
 
 ORACLES = {
     "op7_pareto_mix": OP7_SQL,
+    "op10_line_first_quality": OP10_SQL,
 }
