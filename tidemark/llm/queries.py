@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from .langid import op2_nearest_centroid_langid
 from .mixing import OP7_SQL, op7_pareto_mix
 from .packing import op5_best_fit_packing
 from .quality import OP10_SQL, op10_line_first_quality
+from .toxicity import op6_factorization_toxicity
+from .warc import OP9_SQL, op9_warc_round_trip
 
 QUERIES = {
+    "op2_nearest_centroid_langid": op2_nearest_centroid_langid,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_factorization_toxicity": op6_factorization_toxicity,
     "op7_pareto_mix": op7_pareto_mix,
+    "op9_warc_round_trip": op9_warc_round_trip,
     "op10_line_first_quality": op10_line_first_quality,
 }
 
 ORACLES = {
     "op7_pareto_mix": OP7_SQL,
+    "op9_warc_round_trip": OP9_SQL,
     "op10_line_first_quality": OP10_SQL,
 }
