@@ -6,6 +6,7 @@ from .langid import op2_nearest_centroid_langid
 from .mixing import OP7_SQL, op7_pareto_mix
 from .packing import op5_best_fit_packing
 from .quality import OP10_SQL, op10_line_first_quality
+from .secrets import op8_secret_ownership
 from .toxicity import op6_factorization_toxicity
 from .warc import OP9_SQL, op9_warc_round_trip
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_factorization_toxicity": op6_factorization_toxicity,
     "op7_pareto_mix": op7_pareto_mix,
+    "op8_secret_ownership": op8_secret_ownership,
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_line_first_quality": op10_line_first_quality,
 }
