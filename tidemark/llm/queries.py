@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .langid import op2_nearest_centroid_langid
 from .mixing import OP7_SQL, op7_pareto_mix
+from .ngramjoin import op4_ngram_jaccard_join
 from .packing import op5_best_fit_packing
 from .quality import OP10_SQL, op10_line_first_quality
 from .secrets import op8_secret_ownership
@@ -12,6 +13,7 @@ from .warc import OP9_SQL, op9_warc_round_trip
 
 QUERIES = {
     "op2_nearest_centroid_langid": op2_nearest_centroid_langid,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_factorization_toxicity": op6_factorization_toxicity,
     "op7_pareto_mix": op7_pareto_mix,
