@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .fingerprint import op1_weighted_fingerprints
 from .langid import op2_nearest_centroid_langid
 from .mixing import OP7_SQL, op7_pareto_mix
 from .ngramjoin import op4_ngram_jaccard_join
@@ -12,6 +13,7 @@ from .toxicity import op6_factorization_toxicity
 from .warc import OP9_SQL, op9_warc_round_trip
 
 QUERIES = {
+    "op1_weighted_fingerprints": op1_weighted_fingerprints,
     "op2_nearest_centroid_langid": op2_nearest_centroid_langid,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_best_fit_packing": op5_best_fit_packing,
