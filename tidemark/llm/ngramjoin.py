@@ -10,9 +10,7 @@ own H and its own allocation, chosen by cost:
   m + q = H + 1 is enough. It pays for small sets, whose segments would else be light.
 
 Every pair brought together is verified by its full sets. As only components are wanted, no group is expanded into
-pairs: each document is first compared with the least one that shares most keys with it; only buckets that then still
-hold several components are looked at again, and only their members outside the bucket's largest component are
-compared with the others.
+pairs (see buckets.py).
 """
 
 from __future__ import annotations
@@ -28,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import linked_components, shared_keys
 from .common import small, staged, table
-from .graph import connected_components
 
 BAND_RATIO = 1.4
 #: The cost of a candidate pair, in keys.
@@ -196,14 +194,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     classes = staged(read.where("n > 0 AND doc_id IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("least")))
     classes_ = small(classes, 48)
     keys = read.where("n > 0").join(classes_, "name").where("doc_id = least").select(F.explode("keys").alias("key"), F.struct(F.col("doc_id").alias("doc"), "n").alias("d"))
-    buckets = keys.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("c")).where("lo.doc < hi.doc")
-    buckets = staged(buckets)
-    crowded = buckets.where("c > 2").select("key", "lo")
-    inside = staged(keys.join(small(crowded, 40), "key"))
-
-    can = lambda x, y: F.greatest(f"{x}.n", f"{y}.n") * num <= F.least(f"{x}.n", f"{y}.n") * den
-    stars = buckets.where("c = 2").select(F.col("hi").alias("x"), F.col("lo").alias("y")).union(inside.where("d.doc > lo.doc").select(F.col("d").alias("x"), F.col("lo").alias("y")))
-    pairs = staged(stars.where(can("x", "y")).groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.count("*").alias("shared")))
+    buckets, inside = shared_keys(keys)
     wanted = staged(buckets.where("c = 2").select(F.explode(F.array("lo.doc", "hi.doc")).alias("doc")).union(inside.select("d.doc")).distinct())
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,25 +203,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
 
     sets = staged(text.join(small(wanted, 16), F.col("doc_id") == F.col("doc"), "left_semi").mapInArrow(shingled, "doc long, shingles binary").dropDuplicates(["doc"]), compression="none")
 
-    first = staged(pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b")))
-    links = staged(_verified(first, sets, num, den))
-    found = staged(connected_components(links))
-
-    # What is still in several components within a bucket.
-    known = small(found, 16)
-    label = inside.join(known, F.col("d.doc") == F.col("node"), "left").select("key", "d", F.coalesce("component", "d.doc").alias("of"))
-    per = label.groupBy("key", "of").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("of", F.struct("c", "of")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    per = staged(per)
-    open_ = staged(label.join(small(per, 32), "key"))
-    some, other = open_.where("of <> main").select("key", F.col("d").alias("x"), F.col("of").alias("ox")), open_.select("key", F.col("d").alias("y"), F.col("of").alias("oy"))
-    crossed = some.join(other, "key").where("ox <> oy").where(can("x", "y")).select(F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b"))
-    two = pairs.select("a", "b").join(known, F.col("a") == F.col("node"), "left").select("a", "b", F.coalesce("component", "a").alias("oa"))
-    two = two.join(known, F.col("b") == F.col("node"), "left").where(F.col("oa") != F.coalesce("component", "b")).select("a", "b")
-    left = staged(crossed.union(two).distinct().join(first, ["a", "b"], "left_anti"))
-    more = staged(_verified(left, sets, num, den))
-    if not more.isEmpty():
-        found = staged(connected_components(links.union(more)))
-
+    can = lambda x, y: F.greatest(f"{x}.n", f"{y}.n") * num <= F.least(f"{x}.n", f"{y}.n") * den
+    found = linked_components(buckets, inside, can, lambda pairs: _verified(pairs, sets, num, den))
     final = classes.join(small(found, 16), F.col("least") == F.col("node"), "left").select("name", F.coalesce("component", "least").alias("component"))
     final = small(staged(final), 48)
     out = read.select("doc_id", "n", F.when(F.col("n") > 0, F.col("name")).alias("name")).join(final, "name", "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .fingerprint import op1_weighted_fingerprints
 from .langid import op2_nearest_centroid_langid
+from .linedup import op3_fuzzy_line_dedup
 from .mixing import OP7_SQL, op7_pareto_mix
 from .ngramjoin import op4_ngram_jaccard_join
 from .packing import op5_best_fit_packing
@@ -15,6 +16,7 @@ from .warc import OP9_SQL, op9_warc_round_trip
 QUERIES = {
     "op1_weighted_fingerprints": op1_weighted_fingerprints,
     "op2_nearest_centroid_langid": op2_nearest_centroid_langid,
+    "op3_fuzzy_line_dedup": op3_fuzzy_line_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_factorization_toxicity": op6_factorization_toxicity,
