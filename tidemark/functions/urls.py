@@ -98,7 +98,7 @@ def resolve_url(base: Column, href: Column) -> Column:
     site = F.concat(scheme(base), F.lit("://"), netloc(base))
     root = F.when(path(base) == "", F.lit("/")).otherwise(path(base))
     bare, tail = F.regexp_extract(link, r"(?s)^([^?]*)", 1), F.regexp_extract(link, r"(?s)^[^?]*(\?.*)?$", 1)
-    joined = F.when(bare.startswith("/"), bare).otherwise(F.concat(F.regexp_extract(root, r"(?s)^(.*/)", 1), bare))
+    joined = F.when(bare.startswith("/"), bare).otherwise(F.regexp_replace(F.concat(F.regexp_extract(root, r"(?s)^(.*/)", 1), bare), "/+", "/"))
     with_query = F.when(query(base) != "", F.concat(site, path(base), F.lit("?"), query(base))).otherwise(F.concat(site, path(base)))
     return F.trim(
         F.when(link == "", with_query)
