@@ -12,37 +12,66 @@ from .graph import connected_components
 
 
 def shared_keys(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From keys (key, d: struct with `doc` first): the buckets that hold two or more docs (lo, hi, c), and all members
-    (key, d, lo) of those with more than two. Most keys are held once and end in the one shuffle here."""
-    buckets = staged(keys.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("c")).where("lo.doc < hi.doc"))
-    crowded = buckets.where("c > 2").select("key", "lo")
-    return buckets, staged(keys.join(small(crowded, 40), "key"))
+    """From keys (key, d: struct of doc, n, sim): the buckets that hold two or more docs, and all members (key, d, c) of
+    those with more than two.
+
+    Most keys are held once and end in the one shuffle here, a hash aggregation over plain numbers. Of a bucket of two
+    it tells both docs (x, y: structs like d; which size is whose is not told, and x.sim ^ y.sim is that of the two).
+    """
+    of = keys.select("key", "d.doc", "d.n", "d.sim")
+    found = of.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.bit_xor("sim").alias("differ"), F.count("*").alias("c"))
+    buckets = staged(found.where("lo < hi"))
+    two = buckets.where("c = 2").select(F.struct(F.col("hi").alias("doc"), F.col("n_hi").alias("n"), F.col("differ").alias("sim")).alias("x"), F.struct(F.col("lo").alias("doc"), F.col("n_lo").alias("n"), F.lit(0).cast("long").alias("sim")).alias("y"))
+    return two, staged(keys.join(small(buckets.where("c > 2").select("key", "c"), 32), "key"))
+
+
+def _crossing(label: DataFrame, can: Callable[[str, str], Column]) -> DataFrame:
+    """Pairs (a, b), a > b, of different components in a bucket, from label (key, d, of): members outside the bucket's
+    largest component with all that are in another one than theirs."""
+    per = label.groupBy("key", "of").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("of", F.struct("c", "of")).alias("main"), F.count("*").alias("parts"))
+    per = staged(per.where("parts > 1").select("key", "main"))
+    open_ = staged(label.join(small(per, 32), "key"))
+    some = open_.where("of <> main").select("key", F.col("d").alias("x"), F.col("of").alias("ox"))
+    other = open_.select("key", F.col("d").alias("y"), F.col("of").alias("oy"))
+    met = some.join(other, (some.key == other.key) & (F.col("ox") != F.col("oy")) & can("x", "y"))
+    return met.select(F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b"))
 
 
-def linked_components(buckets: DataFrame, inside: DataFrame, can: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked_components(
+    two: DataFrame,
+    inside: DataFrame,
+    can: Callable[[str, str], Column],
+    verify: Callable[[DataFrame], DataFrame],
+    finer: Callable[[DataFrame], DataFrame] | None = None,
+    can_finer: Callable[[str, str], Column] | None = None,
+) -> DataFrame:
     """node, component over all links between docs that share a key; `can` is a cheap necessary test on two structs,
-    `verify` turns pairs (a, b), a > b, into the links (u, v) among them. Docs without a link have no row.
+    `verify` turns pairs (a, b) into the links (u, v) among them. Docs without a link have no row.
 
-    First each doc is compared with that least doc of a bucket with which it shares most keys. Only pairs and buckets
-    that then still lie in several components go on: of a bucket, the members outside its largest component are
-    compared with all that are in another component. No link between different components is left out by that, as
-    members of one component need no comparing.
+    First each doc is compared with one other: the hub (the member with most company in all its buckets) of those of
+    its buckets where it shares most keys with it. The copies of a text thus meet the text itself. Only what then still
+    lies in several components goes on: of a bucket, the members outside its largest component are compared with all
+    that are in another one, as members of one component need no comparing. For docs in such buckets `finer` may give
+    other keys (key, d), under which any two of them that link meet, if `can_finer` holds, and fewer others do.
     """
-    stars = buckets.where("c = 2").select(F.col("hi").alias("x"), F.col("lo").alias("y")).union(inside.where("d.doc > lo.doc").select(F.col("d").alias("x"), F.col("lo").alias("y")))
-    pairs = staged(stars.where(can("x", "y")).groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.count("*").alias("shared")))
+    degree = staged(inside.groupBy("d.doc").agg(F.sum("c").alias("degree")))
+    ranked = inside.join(small(degree, 16), F.col("d.doc") == F.col("doc")).groupBy("key").agg(F.max_by("d", F.struct("degree", -F.col("d.doc"))).alias("hub"))
+    stars = inside.join(small(staged(ranked), 40), "key").where("d.doc <> hub.doc").select(F.col("d").alias("x"), F.col("hub").alias("y"))
+    pairs = stars.union(two).where(can("x", "y")).groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.count("*").alias("shared"))
     first = staged(pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b")))
     links = staged(verify(first))
     found = staged(connected_components(links))
 
     known = small(found, 16)
     label = inside.join(known, F.col("d.doc") == F.col("node"), "left").select("key", "d", F.coalesce("component", "d.doc").alias("of"))
-    per = label.groupBy("key", "of").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("of", F.struct("c", "of")).alias("main"), F.count("*").alias("parts"))
-    per = staged(per.where("parts > 1").select("key", "main"))
-    open_ = staged(label.join(small(per, 32), "key"))
-    some, other = open_.where("of <> main").select("key", F.col("d").alias("x"), F.col("of").alias("ox")), open_.select("key", F.col("d").alias("y"), F.col("of").alias("oy"))
-    crossed = some.join(other, "key").where("ox <> oy").where(can("x", "y")).select(F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b"))
-    two = pairs.select("a", "b").join(known, F.col("a") == F.col("node"), "left").select("a", "b", F.coalesce("component", "a").alias("oa"))
-    two = two.join(known, F.col("b") == F.col("node"), "left").where(F.col("oa") != F.coalesce("component", "b")).select("a", "b")
-    left = staged(crossed.union(two).distinct().join(first, ["a", "b"], "left_anti"))
-    more = staged(verify(left))
+    if finer:
+        several = label.groupBy("key").agg(F.min("of").alias("p"), F.max("of").alias("q")).where("p <> q").select("key")
+        docs = staged(label.join(small(staged(several), 16), "key", "left_semi").select("d.doc", "of").distinct())
+        label = finer(docs.select("doc")).join(small(docs, 24), F.col("d.doc") == F.col("doc")).select("key", "d", "of")
+    crossed = _crossing(staged(label), can_finer or can)
+    apart = two.where(can("x", "y")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+    apart = apart.join(known, F.col("a") == F.col("node"), "left").select("a", "b", F.coalesce("component", "a").alias("oa"))
+    apart = apart.join(known, F.col("b") == F.col("node"), "left").where(F.col("oa") != F.coalesce("component", "b")).select("a", "b")
+    seen = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    more = staged(verify(staged(crossed.union(apart).distinct().join(seen, ["a", "b"], "left_anti"))))
     return found if more.isEmpty() else staged(connected_components(links.union(more)))

@@ -166,6 +166,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(linked, "u long, v long")
 
 
+def _rare_tokens(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Keys (key, d: doc, n, at) for sets in crowded buckets: their rarest tokens, rarest first, as many as it takes for
+    any two that link to share one. In a group of edited copies these are the edits, which tell the copies apart."""
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                tokens = np.frombuffer(raw.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), doc)), pa.array(np.full(len(tokens), len(tokens))), pa.array(tokens)], ["doc", "n", "token"])
+
+    tokens = staged(sets.select("doc", "shingles").mapInArrow(exploded, "doc long, n long, token long"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
+    rare = tokens.join(often, "token").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t"))
+    prefix = F.slice("t", F.lit(1), (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int"))
+    return rare.select("doc", "n", F.posexplode(prefix).alias("at", "t")).select(F.col("t.token").alias("key"), F.struct("doc", "n", "at").alias("d"))
+
+
+def _can_meet(num: int, den: int):
+    """Whether two sets can link whose first common token in order of rarity is this one: what is left of each from
+    there on must hold the overlap needed."""
+
+    def test(x: str, y: str):
+        sizes = F.col(f"{x}.n") + F.col(f"{y}.n")
+        left = F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at"))
+        return left * (num + den) >= sizes * num
+
+    return test
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per row of docs.
 
@@ -193,9 +222,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     # Equal sets are one class, which its least doc_id stands for.
     classes = staged(read.where("n > 0 AND doc_id IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("least")))
     classes_ = small(classes, 48)
-    keys = read.where("n > 0").join(classes_, "name").where("doc_id = least").select(F.explode("keys").alias("key"), F.struct(F.col("doc_id").alias("doc"), "n").alias("d"))
-    buckets, inside = shared_keys(keys)
-    wanted = staged(buckets.where("c = 2").select(F.explode(F.array("lo.doc", "hi.doc")).alias("doc")).union(inside.select("d.doc")).distinct())
+    keys = read.where("n > 0").join(classes_, "name").where("doc_id = least").select(F.explode("keys").alias("key"), F.struct(F.col("doc_id").alias("doc"), "n", F.lit(0).cast("long").alias("sim")).alias("d"))
+    two, inside = shared_keys(keys)
+    can = lambda x, y: F.greatest(f"{x}.n", f"{y}.n") * num <= F.least(f"{x}.n", f"{y}.n") * den
+    two = two.where(can("x", "y"))
+    wanted = staged(two.select(F.explode(F.array("x.doc", "y.doc")).alias("doc")).union(inside.select("d.doc")).distinct())
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,8 +234,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
 
     sets = staged(text.join(small(wanted, 16), F.col("doc_id") == F.col("doc"), "left_semi").mapInArrow(shingled, "doc long, shingles binary").dropDuplicates(["doc"]), compression="none")
 
-    can = lambda x, y: F.greatest(f"{x}.n", f"{y}.n") * num <= F.least(f"{x}.n", f"{y}.n") * den
-    found = linked_components(buckets, inside, can, lambda pairs: _verified(pairs, sets, num, den))
+    found = linked_components(two, inside, can, lambda pairs: _verified(pairs, sets, num, den), lambda some: _rare_tokens(sets.join(small(some, 8), "doc", "left_semi"), num, den), _can_meet(num, den))
     final = classes.join(small(found, 16), F.col("least") == F.col("node"), "left").select("name", F.coalesce("component", "least").alias("component"))
     final = small(staged(final), 48)
     out = read.select("doc_id", "n", F.when(F.col("n") > 0, F.col("name")).alias("name")).join(final, "name", "left")
