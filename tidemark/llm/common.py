@@ -41,6 +41,16 @@ def staged(df: DataFrame, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, *plain: Column) -> DataFrame:
+    """`doc`, the whole row as one struct, and the columns `plain`: no other column of docs can clash with a join's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *plain)
+
+
+def unpacked(columns: list[str], **changed: Column) -> list[Column]:
+    """The columns of `doc` again, some of them replaced."""
+    return [(changed[c] if c in changed else F.col(f"doc.`{c}`")).alias(c) for c in columns]
+
+
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """Hint a broadcast if a count proves that the (staged) frame is small; else leave the join to a shuffle."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import staged, table
 
@@ -127,8 +128,8 @@ def identify(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
             arrays = [*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, [*keep, "lang_pred", "score", "rejected"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.select(*keep, F.col("text").alias("text_")).mapInArrow(predict, f"{schema}, lang_pred string, score double, rejected boolean")
+    told = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    return docs.select(*keep, F.col("text").alias("text_")).mapInArrow(predict, T.StructType([*fields, *told]))
 
 
 def held_out(mod: int, rest: int):

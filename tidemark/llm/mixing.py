@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, small, staged, uniform
+from .common import WORD, packed, small, staged, uniform, unpacked
 
 #: Ranks are cut into so many buckets; only the one bucket per source where the target is reached is ever sorted.
 BUCKETS = 16384
@@ -102,11 +102,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     A document without words stays once: it takes no words from any target. Rows of one doc_id share their copies
     (the most that any of them got).
     """
-    taken = pareto_mix(docs, **options).groupBy("doc_id", "size").agg(F.max("copies").alias("copies_"))
-    taken = taken.select(F.col("doc_id").alias("doc_id_"), F.col("size").alias("size_"), F.when(F.col("size") > 0, F.col("copies_")).otherwise(1).cast("int").alias("copies_"))
-    size = F.greatest(F.coalesce(F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), F.lit(0)), F.lit(0))
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (size == F.col("size_"))).where("copies_ > 0")
-    return joined.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*docs.columns)
+    taken = pareto_mix(docs, **options).groupBy("doc_id", "size").agg(F.max("copies").alias("copies"))
+    taken = taken.select(F.col("doc_id").alias("id_"), F.col("size").alias("size_"), F.when(F.col("size") > 0, F.col("copies")).otherwise(1).cast("int").alias("copies"))
+    size = F.greatest(F.coalesce(F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), F.lit(0)), F.lit(0)).cast("long")
+    rows = packed(docs, F.col("doc_id").alias("id"), size.alias("size"))
+    joined = rows.join(taken, F.col("id").eqNullSafe(F.col("id_")) & (F.col("size") == F.col("size_"))).where("copies > 0")
+    return joined.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(*unpacked(docs.columns))
 
 
 def op7_pareto_mix(spark, sf_dir: str) -> DataFrame:
