@@ -55,6 +55,7 @@ def train(rows: list[np.ndarray], label: np.ndarray, n_terms: int, factors: int
     w0, w, v = 0.0, np.zeros(n_terms), rng.normal(0, 0.05, (n_terms, factors))
     state = [[0.0, 0.0], [np.zeros_like(w), np.zeros_like(w)], [np.zeros_like(v), np.zeros_like(v)]]
     weight = np.where(label == 1, 0.5 / max(label.mean(), 1e-9), 0.5 / max(1 - label.mean(), 1e-9))
+    by = lambda at, rows, n: np.stack([np.bincount(at, rows[:, f], n) for f in range(factors)], 1)  # noqa: E731  sums of rows by place
     step = 0
     for _ in range(epochs):
         order = rng.permutation(len(rows))
@@ -62,15 +63,12 @@ def train(rows: list[np.ndarray], label: np.ndarray, n_terms: int, factors: int
             batch = order[at : at + 256]
             flat = np.concatenate([rows[i] for i in batch]) if len(batch) else np.zeros(0, int)
             of = np.repeat(np.arange(len(batch)), [len(rows[i]) for i in batch])
-            sums = np.zeros((len(batch), factors))
-            np.add.at(sums, of, v[flat])
+            sums = by(of, v[flat], len(batch))
             squares = np.bincount(of, (v[flat] ** 2).sum(1), len(batch))
             z = w0 + np.bincount(of, w[flat], len(batch)) + 0.5 * ((sums**2).sum(1) - squares)
             g = weight[batch] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[batch]) / len(batch)
             gw = np.bincount(flat, g[of], n_terms) + decay * w
-            gv = np.zeros_like(v)
-            np.add.at(gv, flat, g[of, None] * (sums[of] - v[flat]))
-            gv += decay * v
+            gv = by(flat, g[of, None] * (sums[of] - v[flat]), n_terms) + decay * v
             step += 1
             moved = []
             for old, grad, s in zip((w0, w, v), (g.sum(), gw, gv), state):
@@ -81,21 +79,26 @@ def train(rows: list[np.ndarray], label: np.ndarray, n_terms: int, factors: int
     return float(w0), w, v
 
 
-def fit(labelled: DataFrame, sample_per_label: int = SAMPLE_PER_LABEL, n_terms: int = TERMS) -> dict:
-    """The machine, from labelled (doc_id, text, toxic). A bounded sample of either label is drawn by a hash of doc_id
-    and turned into hashed terms where it lies; one task then fits on those sparse rows. The driver gets the weights
-    alone: `n_terms` x (factors + 1) numbers. Rows with a null label, text or doc_id teach nothing."""
-    known = labelled.where("text IS NOT NULL AND toxic IN (0, 1) AND doc_id IS NOT NULL")
+def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = SAMPLE_PER_LABEL, n_terms: int = TERMS) -> dict:
+    """The machine, from docs (doc_id, text) and labels (doc_id, toxic).
+
+    A bounded sample of either label is drawn from `labels` by a hash of doc_id. Only that (two numbers a row, in a
+    number bounded by the parameter) is broadcast to the texts, which are turned into hashed terms where they lie; one
+    task then fits on those sparse rows. The driver gets the weights alone: `n_terms` x (factors + 1) numbers. Rows with
+    a null label, text or doc_id teach nothing; of rows that share a doc_id, one does.
+    """
+    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id_"), F.col("toxic").cast("int").alias("toxic"))
     shares = F.broadcast(staged(known.groupBy("toxic").count().select(F.col("toxic").alias("toxic_"), (F.lit(float(sample_per_label)) / F.col("count")).alias("share"))))
-    drawn = known.join(shares, F.col("toxic") == F.col("toxic_")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    drawn = known.join(shares, F.col("toxic") == F.col("toxic_")).where(F.pmod(F.xxhash64("id_"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    drawn = staged(drawn.groupBy("id_").agg(F.max("toxic").alias("toxic")))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sorted(terms(t.as_py())) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "toxic", "terms"])
 
-    drawn = drawn.dropDuplicates(["doc_id"]).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text")
-    sample = staged(drawn.mapInArrow(hashed, "doc_id long, toxic int, terms array<int>"))
+    texts = docs.where("text IS NOT NULL").join(F.broadcast(drawn), F.col("doc_id") == F.col("id_")).select(F.col("id_").alias("doc_id"), "toxic", "text")
+    sample = staged(texts.mapInArrow(hashed, "doc_id long, toxic int, terms array<int>").dropDuplicates(["doc_id"]))
 
     # Choosing the terms is a count by term and label, and the largest z-scores of it.
     n = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
@@ -143,6 +146,6 @@ def score_toxicity(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
 
 def op6_factorization_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = fit(docs.where(~held_out(5, 0)).select("doc_id", "text").join(labels, "doc_id"))
+    model = fit(docs, labels.where(~held_out(5, 0)))
     scored = score_toxicity(docs, model, "doc_id")
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
