@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,24 +14,26 @@ SHINGLE = 5
 CHUNK = 4
 
 
-def weighted_terms(text: Column, n: int = SHINGLE) -> Column:
-    """An array of (h, w): the hash of each distinct n-word shingle and how often it occurs. A text of fewer words is
-    one shingle; one without words has none. A weight above CHUNK is split into terms of at most CHUNK, which leaves
-    the generalised Jaccard similarity of any two texts as it is and no term too heavy for one bin."""
+def _shingles(text: Column, n: int) -> Column:
+    """The sorted hashes of all n-word shingles. A text of fewer words is one shingle; one without words has none."""
 
-    def shingles(h: Column) -> Column:
+    def of(h: Column) -> Column:
         parts = lambda i: [F.get(h, i + k) for k in range(n)]
-        return F.when(F.size(h) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - n, F.lit(0))), lambda i: F.xxhash64(*parts(i.cast("int"))))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(h) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - n, F.lit(0))), lambda i: F.xxhash64(*parts(i)))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.transform(words_of(text), lambda w: F.xxhash64(w)), lambda h: F.sort_array(of(h)))
+
+
+def _runs(s: Column) -> Column:
+    """(h, w): the distinct values of a sorted array and how often they come. A weight above CHUNK is split into terms of
+    at most CHUNK, which leaves the generalised Jaccard similarity of any two texts as it is and no term too heavy for
+    one bin."""
 
     def split(h: Column, w: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.floor((w - 1) / CHUNK).cast("int")), lambda k: F.struct(F.when(k == 0, h).otherwise(F.xxhash64(h, k)).alias("h"), F.least(F.lit(CHUNK), w - k * CHUNK).alias("w")))
 
-    def runs(s: Column) -> Column:
-        starts = F.filter(F.transform(s, lambda h, i: F.when(i == 0, i).when(h != F.get(s, i - 1), i)), lambda i: i.isNotNull())
-        return let(starts, lambda p: F.flatten(F.transform(p, lambda i, j: split(F.get(s, i), F.coalesce(F.get(p, j + 1), F.size(s)) - i))))
-
-    sorted_ = let(F.transform(words_of(text), lambda w: F.xxhash64(w)), lambda h: F.sort_array(shingles(h)))
-    return let(sorted_, lambda s: F.when(F.size(F.array_distinct(s)) == F.size(s), F.transform(s, lambda h: F.struct(h.alias("h"), F.lit(1).alias("w")))).otherwise(runs(s)))
+    starts = F.filter(F.transform(s, lambda h, i: F.when(i == 0, i).when(h != F.get(s, i - 1), i)), lambda i: i.isNotNull())
+    return let(starts, lambda p: F.flatten(F.transform(p, lambda i, j: split(F.get(s, i), F.coalesce(F.get(p, j + 1), F.size(s)) - i))))
 
 
 def signature(text: Column, bins: int = BINS, n: int = SHINGLE) -> Column:
@@ -42,30 +46,31 @@ def signature(text: Column, bins: int = BINS, n: int = SHINGLE) -> Column:
     Jaccard similarity there. As a depends on the term and t alone, a itself names the sample. (Binning needs one draw
     a term instead of one for each term and bin.)
     """
-    unit = lambda x, at: (F.shiftrightunsigned(x, at).bitwiseAND(0xFFFFFF) + F.lit(0.5)) / F.lit(float(1 << 24))
-
-    def key(term: Column) -> Column:
-        def drawn(x: Column, y: Column) -> Column:
-            c = -F.ln(unit(y, 0) * unit(y, 24))
-            b = (F.shiftrightunsigned(x, 48) + F.lit(0.5)) / F.lit(float(1 << 16))
+    part = lambda x, at: F.shiftrightunsigned(x, at).bitwiseAND(0xFFFFFF) + F.lit(0.5)  # noqa: E731  24 random bits
+    gamma = lambda x, p, q: F.lit(48 * math.log(2)) - F.ln(part(x, p) * part(x, q))  # noqa: E731  -ln(u v) of two uniforms
 
-            def log_a(r: Column) -> Column:
-                t = F.when(term["w"] == 1, F.lit(0)).otherwise(F.floor(F.ln(term["w"].cast("double")) / r + b))
-                return F.ln(c) + r * (b - t - 1)
+    def place(h: Column, t: Column | None) -> Column:
+        """One number for a term: its bin, and within the bin the order of ln a (which lies well between -100 and 28)."""
+        x, y = h, F.xxhash64(h)  # the bin takes the lowest 7 bits of h
+        b = F.shiftrightunsigned(y, 48) / F.lit(float(1 << 16))
+        log_a = F.ln(gamma(y, 0, 24)) + gamma(x, 8, 32) * ((b - 1) if t is None else (b - t - 1))
+        return F.pmod(h, F.lit(bins)) * 128 + F.greatest(log_a + 100, F.lit(0.0))
 
-            # a / (1 + a) keeps the order of a; the bin is the whole part.
-            return F.pmod(term["h"], F.lit(bins)) + F.lit(1.0) / (F.lit(1.0) + F.exp(-let(-F.ln(unit(x, 0) * unit(x, 24)), log_a)))
+    def weighted(term: Column) -> Column:
+        b = F.shiftrightunsigned(F.xxhash64(term["h"]), 48) / F.lit(float(1 << 16))
+        return place(term["h"], F.when(term["w"] == 1, F.lit(0)).otherwise(F.floor(F.ln(term["w"].cast("double")) / gamma(term["h"], 8, 32) + b)))
 
-        return let(F.xxhash64(term["h"], F.lit(1)), lambda x: drawn(x, F.xxhash64(x, F.lit(2))))
+    def keys(s: Column) -> Column:
+        return F.sort_array(F.when(F.size(F.array_distinct(s)) == F.size(s), F.transform(s, lambda h: place(h, None))).otherwise(F.transform(_runs(s), weighted)))
 
-    keys = F.sort_array(F.transform(weighted_terms(text, n), key))
-    firsts = let(keys, lambda s: F.filter(s, lambda x, i: (i == 0) | (F.floor(x) != F.floor(F.get(s, i - 1)))))
+    bin_of = lambda x: F.floor(x / 128)
+    firsts = let(let(_shingles(text, n), keys), lambda s: F.filter(s, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(s, i - 1)))))
     blank = lambda k: F.array_repeat(F.lit(-1), k.cast("int"))
     name = lambda x: F.xxhash64(x).bitwiseAND(0xFFFFFF).cast("int")
 
     def spread(s: Column) -> Column:
-        before = lambda i: F.coalesce(F.floor(F.get(s, i - 1)), F.lit(-1))
-        filled = F.flatten(F.transform(s, lambda x, i: F.concat(blank(F.floor(x) - before(i) - 1), F.array(name(x)))))
+        before = lambda i: F.coalesce(bin_of(F.get(s, i - 1)), F.lit(-1))
+        filled = F.flatten(F.transform(s, lambda x, i: F.concat(blank(bin_of(x) - before(i) - 1), F.array(name(x)))))
         return F.concat(filled, blank(F.lit(bins - 1) - before(F.size(s))))
 
     return let(firsts, spread)
