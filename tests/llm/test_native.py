@@ -108,13 +108,13 @@ def test_simhash_of_any_length(spark):
         assert sim & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def test_blocks_meet_within_three_bits(spark):
+def test_blocks_meet_within_two_bits(spark):
     rng = random.Random(4)
     pairs = []
     for _ in range(300):
         a = rng.randrange(2**64)
         b = a
-        for bit in rng.sample(range(64), rng.randrange(0, 4)):
+        for bit in rng.sample(range(64), rng.randrange(0, 3)):
             b ^= 1 << bit
         pairs.append(tuple(x - 2**64 if x >= 2**63 else x for x in (a, b)))
     df = spark.createDataFrame(pairs, "a long, b long")
@@ -176,7 +176,7 @@ def test_lines_against_brute_force(spark):
             if a < b:
                 x, y = texts[a], texts[b]
                 shared = sum(p == q for p, q in zip(block(sims[a]), block(sims[b])))
-                linked = x == y or (shared >= 3 and bin(sims[a] ^ sims[b]).count("1") <= D.HAMMING and distance(x, y) <= math.floor(max(len(x), len(y)) * 0.2 + 1e-9))
+                linked = x == y or (shared >= 2 and bin(sims[a] ^ sims[b]).count("1") <= D.HAMMING and distance(x.split(), y.split()) <= math.floor(max(len(x.split()), len(y.split())) * 0.2 + 1e-9))
                 if linked and root(a) != root(b):
                     parent[max(root(a), root(b))] = min(root(a), root(b))
     gone = {p for p in places if root(p) != p}
