@@ -184,6 +184,33 @@ def test_lines_against_brute_force(spark):
     assert {r.doc_id: r.text for r in D.dedup_lines(docs).collect()} == want
 
 
+def test_similar_lines_are_found(spark):
+    """Against all pairs by edit similarity of characters alone."""
+    rng = random.Random(12)
+    cases = [(10, 1), (20, 1), (40, 1), (20, 2), (5, 1), (20, 4), (60, 12)]
+    rows = []
+    for size, changed in cases:
+        for _ in range(60):
+            w = ["the" if rng.random() < 0.3 else "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 9))) for _ in range(size)]
+            v = list(w)
+            for k in rng.sample(range(size), changed):
+                v[k] = "".join(rng.choice("klmnopq") for _ in range(len(w[k])))
+            rows += [(len(rows), " ".join(w), "s"), (len(rows) + 1, " ".join(v), "s")]
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(120))
+    rows += [(len(rows) + i, f"a b c d {text[:k]}{c}{text[k + 1 :]}", "s") for i, (k, c) in enumerate(((60, "!"), (30, "x")))]  # long words
+    docs = documents(spark, rows)
+    x, y = (docs.select(F.col("doc_id").alias(f"d{k}"), F.col("text").alias(f"t{k}")) for k in (1, 2))
+    most = F.floor(F.greatest(F.length("t1"), F.length("t2")) * 0.2 + 1e-9)
+    want = {r[0] for r in x.join(y, (F.col("d1") < F.col("d2")) & (F.levenshtein("t1", "t2") <= most)).select("d2").collect()}
+    kept = {r.doc_id for r in D.documents_without_repeats(docs).select("doc_id").collect()}
+    gone = {i for i, _, _ in rows} - kept
+    assert gone <= want
+    for at, case in enumerate(cases):
+        of = {i for i in want if i // 120 == at}
+        assert len(of) >= 20 and len(of & gone) >= 0.85 * len(of), (case, len(of), len(of & gone))
+    assert len(rows) - 1 in gone
+
+
 def test_lines_of_an_empty_table(spark):
     assert D.dedup_lines(documents(spark, [])).count() == 0
 
