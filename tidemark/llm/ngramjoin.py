@@ -109,8 +109,8 @@ def allocate(low: int, high: int, num: int, den: int, n_docs: int) -> tuple[int,
 
 @cache
 def bands(num: int, den: int, n_docs: int, longest: int = 1 << 22) -> tuple[Band, ...]:
-    """Size bands from the least size at which two different sets can link. Any two that can link lie in the same band
-    or in neighbours."""
+    """Size bands from the least size at which two different sets can link, up to `longest` at least. Any two that can
+    link lie in the same band or in neighbours. A greater `longest` only adds bands at the end."""
     low, out = -(-num // (den - num)), []
     while low < longest:
         high = max(low + 1, int(low * BAND_RATIO))
@@ -136,9 +136,18 @@ def band_keys(tokens: np.ndarray, index: int, band: Band) -> np.ndarray:
     return np.concatenate((exact, _mix(total[segment[some]] - value[some] + _mix(place[segment[some]]))))
 
 
+def bands_for(n: int, num: int, den: int, n_docs: int) -> tuple[Band, ...]:
+    """Bands that cover a set of n tokens, however large."""
+    scheme = bands(num, den, n_docs)
+    while n >= scheme[-1].high:
+        scheme = bands(num, den, n_docs, 2 * scheme[-1].high)
+    return scheme
+
+
 def set_keys(tokens: np.ndarray, num: int, den: int, n_docs: int) -> np.ndarray:
     """All keys of a set: its own band's, and those of the band below if a set there can link with it."""
-    scheme, n = bands(num, den, n_docs), len(tokens)
+    n = len(tokens)
+    scheme = bands_for(n, num, den, n_docs)
     if n < scheme[0].low:  # only an equal set links with it
         return np.zeros(0, np.uint64)
     own = next(i for i, b in enumerate(scheme) if n < b.high)
