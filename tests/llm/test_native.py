@@ -54,6 +54,19 @@ def test_fingerprints_estimate_generalised_jaccard(spark):
     assert abs(off.mean()) < 0.03 and np.abs(off).max() < 0.2
 
 
+def test_fingerprints_of_mixed_weights_in_short_texts(spark):
+    rng = random.Random(11)
+    for size in (12, 24):
+        pairs = []
+        for _ in range(100):
+            shared = prose(rng, size)
+            pairs.append(tuple(" ".join(f"{prose(rng, 6)} {shared}" for _ in range(4)) for _ in "ab"))
+        df = spark.createDataFrame(pairs, "a string, b string")
+        told = [r[0] for r in df.select(P.likeness(P.signature(F.col("a")), P.signature(F.col("b")))).collect()]
+        off = np.array([t - jaccard(shingles(a), shingles(b)) for t, (a, b) in zip(told, pairs)])
+        assert abs(off.mean()) < 0.025
+
+
 def test_fingerprints_of_odd_texts(spark):
     texts = [None, "", " \n", "one", "one two", "one", "x " * 30000]
     df = spark.createDataFrame([(t,) for t in texts], "text string")

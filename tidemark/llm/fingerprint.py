@@ -11,7 +11,6 @@ from .common import let, staged, table, words_of
 
 BINS = 128
 SHINGLE = 5
-CHUNK = 4
 
 
 def _shingles(text: Column, n: int) -> Column:
@@ -24,13 +23,13 @@ def _shingles(text: Column, n: int) -> Column:
     return let(F.transform(words_of(text), lambda w: F.xxhash64(w)), lambda h: F.sort_array(of(h)))
 
 
-def _runs(s: Column) -> Column:
-    """(h, w): the distinct values of a sorted array and how often they come. A weight above CHUNK is split into terms of
-    at most CHUNK, which leaves the generalised Jaccard similarity of any two texts as it is and no term too heavy for
-    one bin."""
+def _occurrences(s: Column) -> Column:
+    """The values of a sorted array, each but the first of equal ones hashed with its number among them: a weight of w is
+    w terms of weight 1, of which two texts share as many as the lesser weight. The Jaccard similarity of these sets is
+    the generalised one of the weights."""
 
     def split(h: Column, w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.floor((w - 1) / CHUNK).cast("int")), lambda k: F.struct(F.when(k == 0, h).otherwise(F.xxhash64(h, k)).alias("h"), F.least(F.lit(CHUNK), w - k * CHUNK).alias("w")))
+        return F.transform(F.sequence(F.lit(0), w - 1), lambda k: F.when(k == 0, h).otherwise(F.xxhash64(h, k)))
 
     starts = F.filter(F.transform(s, lambda h, i: F.when(i == 0, i).when(h != F.get(s, i - 1), i)), lambda i: i.isNotNull())
     return let(starts, lambda p: F.flatten(F.transform(p, lambda i, j: split(F.get(s, i), F.coalesce(F.get(p, j + 1), F.size(s)) - i))))
@@ -40,28 +39,24 @@ def signature(text: Column, bins: int = BINS, n: int = SHINGLE) -> Column:
     """The fingerprint of a whole text (null: as an empty one): for each bin the 24-bit name of its sample, -1 for a
     bin without a term. Equal texts have equal fingerprints.
 
-    Terms are dealt to bins by their hash, and each bin keeps one consistent weighted sample. With r and c drawn from
-    Gamma(2, 1) and b from (0, 1) by the term's hash, t = floor(ln w / r + b) and a = c exp(r (b - t) - r); the
-    term of least a is the bin's sample, and two texts agree on a bin with a probability that is their generalised
-    Jaccard similarity there. As a depends on the term and t alone, a itself names the sample. (Binning needs one draw
-    a term instead of one for each term and bin.)
+    A shingle of weight w is w terms of weight 1. Terms are dealt to bins by their hash, and each bin keeps one consistent
+    sample: with r and c drawn from Gamma(2, 1) and b from (0, 1) by the term's hash, a = c exp(r b - r) (at weight 1),
+    and the term of least a is the bin's sample. All terms weigh the same, so the share of bins on which two texts agree
+    estimates their generalised Jaccard similarity, also where bins hold few terms. As a depends on the term alone, a
+    itself names the sample. (Binning needs one draw a term instead of one for each term and bin.)
     """
     part = lambda x, at: F.shiftrightunsigned(x, at).bitwiseAND(0xFFFFFF) + F.lit(0.5)  # noqa: E731  24 random bits
     gamma = lambda x, p, q: F.lit(48 * math.log(2)) - F.ln(part(x, p) * part(x, q))  # noqa: E731  -ln(u v) of two uniforms
 
-    def place(h: Column, t: Column | None) -> Column:
+    def place(h: Column) -> Column:
         """One number for a term: its bin, and within the bin the order of ln a (which lies well between -100 and 28)."""
         x, y = h, F.xxhash64(h)  # the bin takes the lowest 7 bits of h
         b = F.shiftrightunsigned(y, 48) / F.lit(float(1 << 16))
-        log_a = F.ln(gamma(y, 0, 24)) + gamma(x, 8, 32) * ((b - 1) if t is None else (b - t - 1))
+        log_a = F.ln(gamma(y, 0, 24)) + gamma(x, 8, 32) * (b - 1)
         return F.pmod(h, F.lit(bins)) * 128 + F.greatest(log_a + 100, F.lit(0.0))
 
-    def weighted(term: Column) -> Column:
-        b = F.shiftrightunsigned(F.xxhash64(term["h"]), 48) / F.lit(float(1 << 16))
-        return place(term["h"], F.when(term["w"] == 1, F.lit(0)).otherwise(F.floor(F.ln(term["w"].cast("double")) / gamma(term["h"], 8, 32) + b)))
-
     def keys(s: Column) -> Column:
-        return F.sort_array(F.when(F.size(F.array_distinct(s)) == F.size(s), F.transform(s, lambda h: place(h, None))).otherwise(F.transform(_runs(s), weighted)))
+        return F.sort_array(F.transform(F.when(F.size(F.array_distinct(s)) == F.size(s), s).otherwise(_occurrences(s)), place))
 
     bin_of = lambda x: F.floor(x / 128)
     firsts = let(let(_shingles(text, n), keys), lambda s: F.filter(s, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(s, i - 1)))))
