@@ -121,17 +121,19 @@ def test_linking_sets_share_a_key(n, drop, add, num, seed):
     a, b = np.unique(x), np.unique(y)
     both = len(np.intersect1d(a, b))
     if 100 * both >= num * (len(a) + len(b) - both) and not len(a) == len(b) == both:
-        assert np.intersect1d(N.set_keys(a, num, 100, 10**6), N.set_keys(b, num, 100, 10**6)).size
+        scheme = SCHEMES[num]
+        assert np.intersect1d(scheme.keys(a), scheme.keys(b)).size
 
 
-def test_sets_beyond_the_last_band_have_keys(monkeypatch):
-    made = N.bands
-    monkeypatch.setattr(N, "bands", lambda num, den, n_docs, longest=64: made(num, den, n_docs, longest))
+SCHEMES = {num: N.Scheme(num, 100, 10**6) for num in (80, 90)}
+
+
+def test_sets_beyond_the_last_band_have_keys():
     rng = np.random.default_rng(3)
     for n in (60, 90, 100, 300, 1000):
         a = rng.integers(0, 1 << 63, n, np.uint64)
         b = np.concatenate((a[n // 25 :], rng.integers(0, 1 << 63, n // 25, np.uint64)))
-        x, y = (N.set_keys(np.unique(t), 90, 100, 1000) for t in (a, b))
+        x, y = (N.Scheme(90, 100, 1000, 64).keys(np.unique(t)) for t in (a, b))
         assert len(np.intersect1d(x, y))
 
 

@@ -7,22 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, staged
+from .common import drop, small, staged
 from .graph import connected_components
 
 
-def shared_keys(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From keys (key, d: struct of doc, n, sim): the buckets that hold two or more docs, and all members (key, d, c) of
-    those with more than two.
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """From keys (key, d: a struct with doc), a doc at most once under a key: the members (key, d, c, weight) of buckets
+    of c >= 2 docs.
 
-    Most keys are held once and end in the one shuffle here, a hash aggregation over plain numbers. Of a bucket of two
-    it tells both docs (x, y: structs like d; which size is whose is not told, and x.sim ^ y.sim is that of the two).
+    Most keys are held once. They are counted as bare numbers, so nothing else of them is shuffled. Of several keys that
+    hold the same docs, one stays, and `weight` tells how many they were.
     """
-    of = keys.select("key", "d.doc", "d.n", "d.sim")
-    found = of.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.bit_xor("sim").alias("differ"), F.count("*").alias("c"))
-    buckets = staged(found.where("lo < hi"))
-    two = buckets.where("c = 2").select(F.struct(F.col("hi").alias("doc"), F.col("n_hi").alias("n"), F.col("differ").alias("sim")).alias("x"), F.struct(F.col("lo").alias("doc"), F.col("n_lo").alias("n"), F.lit(0).cast("long").alias("sim")).alias("y"))
-    return two, staged(keys.join(small(buckets.where("c > 2").select("key", "c"), 32), "key"))
+    often = staged(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+    members = staged(keys.join(small(often, 16), "key"))
+    held = members.groupBy("key", "c").agg(F.bit_xor(F.xxhash64("d.doc")).alias("p"), F.bit_xor(F.xxhash64("d.doc", F.lit(1))).alias("q"))
+    one = staged(held.groupBy("c", "p", "q").agg(F.min("key").alias("key"), F.count("*").alias("weight")).select("key", "weight"))
+    found = staged(members.join(small(one, 16), "key"))
+    drop(often, members, one)
+    return found
 
 
 def _crossing(label: DataFrame, can: Callable[[str, str], Column]) -> DataFrame:
@@ -34,44 +36,44 @@ def _crossing(label: DataFrame, can: Callable[[str, str], Column]) -> DataFrame:
     some = open_.where("of <> main").select("key", F.col("d").alias("x"), F.col("of").alias("ox"))
     other = open_.select("key", F.col("d").alias("y"), F.col("of").alias("oy"))
     met = some.join(other, (some.key == other.key) & (F.col("ox") != F.col("oy")) & can("x", "y"))
-    return met.select(F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b"))
+    found = staged(met.select(F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b")).distinct())
+    drop(per, open_)
+    return found
 
 
 def linked_components(
-    two: DataFrame,
     inside: DataFrame,
     can: Callable[[str, str], Column],
     verify: Callable[[DataFrame], DataFrame],
     finer: Callable[[DataFrame], DataFrame] | None = None,
     can_finer: Callable[[str, str], Column] | None = None,
 ) -> DataFrame:
-    """node, component over all links between docs that share a key; `can` is a cheap necessary test on two structs,
-    `verify` turns pairs (a, b) into the links (u, v) among them. Docs without a link have no row.
+    """node, component over all links between docs that share a bucket of `inside` (key, d, c, weight); `can` is a cheap
+    necessary test on two structs d, `verify` turns pairs (a, b) into the links (u, v) among them. Docs without a link
+    have no row.
 
     First each doc is compared with one other: the hub (the member with most company in all its buckets) of those of
     its buckets where it shares most keys with it. The copies of a text thus meet the text itself. Only what then still
     lies in several components goes on: of a bucket, the members outside its largest component are compared with all
-    that are in another one, as members of one component need no comparing. For docs in such buckets `finer` may give
-    other keys (key, d), under which any two of them that link meet, if `can_finer` holds, and fewer others do.
+    that are in another one, as members of one component need no comparing. `finer` may turn the members (key, d, c,
+    of: their component) of such buckets into those (key, d, of) of other ones, under which two docs that link still
+    meet, if `can_finer` holds, and fewer others do.
     """
-    degree = staged(inside.groupBy("d.doc").agg(F.sum("c").alias("degree")))
+    degree = staged(inside.groupBy("d.doc").agg(F.sum(F.col("c") * F.col("weight")).alias("degree")))
     ranked = inside.join(small(degree, 16), F.col("d.doc") == F.col("doc")).groupBy("key").agg(F.max_by("d", F.struct("degree", -F.col("d.doc"))).alias("hub"))
-    stars = inside.join(small(staged(ranked), 40), "key").where("d.doc <> hub.doc").select(F.col("d").alias("x"), F.col("hub").alias("y"))
-    pairs = stars.union(two).where(can("x", "y")).groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.count("*").alias("shared"))
+    ranked = staged(ranked)
+    stars = inside.join(small(ranked, 40), "key").where("d.doc <> hub.doc").select(F.col("d").alias("x"), F.col("hub").alias("y"), "weight")
+    pairs = stars.where(can("x", "y")).groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.sum("weight").alias("shared"))
     first = staged(pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b")))
+    drop(degree, ranked)
     links = staged(verify(first))
     found = staged(connected_components(links))
 
-    known = small(found, 16)
-    label = inside.join(known, F.col("d.doc") == F.col("node"), "left").select("key", "d", F.coalesce("component", "d.doc").alias("of"))
-    if finer:
-        several = label.groupBy("key").agg(F.min("of").alias("p"), F.max("of").alias("q")).where("p <> q").select("key")
-        docs = staged(label.join(small(staged(several), 16), "key", "left_semi").select("d.doc", "of").distinct())
-        label = finer(docs.select("doc")).join(small(docs, 24), F.col("d.doc") == F.col("doc")).select("key", "d", "of")
-    crossed = _crossing(staged(label), can_finer or can)
-    apart = two.where(can("x", "y")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-    apart = apart.join(known, F.col("a") == F.col("node"), "left").select("a", "b", F.coalesce("component", "a").alias("oa"))
-    apart = apart.join(known, F.col("b") == F.col("node"), "left").where(F.col("oa") != F.coalesce("component", "b")).select("a", "b")
+    label = inside.join(small(found, 16), F.col("d.doc") == F.col("node"), "left").select("key", "d", "c", F.coalesce("component", "d.doc").alias("of"))
+    several = staged(label.groupBy("key").agg(F.min("of").alias("p"), F.max("of").alias("q")).where("p <> q").select("key"))
+    label = staged(label.join(small(several, 8), "key", "left_semi"))
+    crossed = _crossing(staged(finer(label)) if finer else label, can_finer or can)
     seen = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = staged(verify(staged(crossed.union(apart).distinct().join(seen, ["a", "b"], "left_anti"))))
+    more = staged(verify(staged(crossed.join(seen, ["a", "b"], "left_anti"))))
+    drop(several, label, crossed)
     return found if more.isEmpty() else staged(connected_components(links.union(more)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,7 @@ BLANKS = r"[\x20\x09-\x0D]+"
 BROADCAST_BYTES = 32 << 20
 
 _own_folder: dict[str, str] = {}
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,21 +26,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset, a temporary folder if
+    all runs in one process (master local), and an error on a cluster, whose executors would write to disks of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folder:
-        _own_folder[app] = tempfile.mkdtemp(prefix="tidemark-")
-    return _own_folder[app]
+    context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own_folder:
+        _own_folder[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
+    return _own_folder[context.applicationId]
 
 
 def staged(df: DataFrame, **options: str) -> DataFrame:
     """Write a frame once to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
     path = f"{shared_folder(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete the files of staged frames. Only for frames whose readers have all been staged themselves."""
+    for frame in frames:
+        spark, path = frame.sparkSession, _written.pop(frame)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def packed(docs: DataFrame, *plain: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, staged
+from .common import drop, small, staged
 
 
 def _round(edges: DataFrame, large: bool) -> DataFrame:
@@ -17,7 +17,9 @@ def _round(edges: DataFrame, large: bool) -> DataFrame:
     least = staged(seen.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")))
     joined = seen.join(small(least, 32), F.col("u") == F.col("w"))
     moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
-    return staged(moved.where("u <> v").distinct())
+    out = staged(moved.where("u <> v").distinct())
+    drop(edges, least)
+    return out
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -15,9 +15,8 @@ pairs (see buckets.py).
 
 from __future__ import annotations
 
-import math
+from bisect import bisect_right
 from collections.abc import Iterator
-from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import linked_components, shared_keys
-from .common import small, staged, table
+from .common import drop, packed, small, staged, table, unpacked
 
 BAND_RATIO = 1.4
 #: The cost of a candidate pair, in keys.
@@ -71,6 +70,11 @@ def shingle_set(text: bytes | None, n: int) -> np.ndarray:
     return np.unique(_mix(made))
 
 
+def _name(tokens: np.ndarray) -> bytes:
+    """128 bits that name a set."""
+    return _mix(tokens + _M1).sum(dtype=np.uint64).tobytes() + _mix(tokens ^ _M3).sum(dtype=np.uint64).tobytes()
+
+
 class Band(NamedTuple):
     low: int
     high: int  # exclusive
@@ -80,38 +84,40 @@ class Band(NamedTuple):
     light: int
 
 
+def _some(most: int) -> np.ndarray:
+    """0 to `most`: all up to 64, then ever wider steps. A step not tried costs some keys at most, never a link."""
+    return np.unique(np.concatenate((np.arange(min(most, 64) + 1), np.geomspace(1, most + 1, 120).astype(np.int64) - 1)))
+
+
 def allocate(low: int, high: int, num: int, den: int, n_docs: int) -> tuple[int, int, int, int]:
     """m, q, the number x of light segments that a set may leave out, and the size under which a segment is light: of
     least cost for a band of sizes."""
     top = high - 1
     differ = (top + den * top // num) * (den - num) // (den + num)
-    size = (low + top) / 2
-
-    def keys_alone(x: int, light: int) -> float:
+    best: list[tuple[float, int, int, int, int]] = []
+    x = _some(differ + 11)
+    for light in (1, 2):
         m = differ + 1 + x
         t = low / m
-        left_out = math.exp(-t) * (1 + t * (light - 1))
-        if x < m * left_out + 3 * math.sqrt(m * left_out):
-            return math.inf
-        single = t * math.exp(-t) * (2 - light)
-        return m * (1 - left_out) + PAIR_COST * n_docs * m * single**2 * SHARED_TOKEN
-
-    def deletions(q: int) -> float:
-        m = differ + 1 - q
-        t = size / m
-        empty, nearly = math.exp(-t), math.exp(-t) * (1 + t)
-        return m + q * t + PAIR_COST * n_docs * ((m - q) * empty**2 + q * nearly**2)
-
-    best = [(keys_alone(x, light), differ + 1 + x, 0, x, light) for x in range(differ + 12) for light in (1, 2)]
-    best += [(deletions(q), differ + 1 - q, q, 0, 0) for q in range((differ + 1) // 2 + 1)]
+        left_out = np.exp(-t) * (1 + t * (light - 1))
+        single = t * np.exp(-t) * (2 - light)
+        cost = m * (1 - left_out) + PAIR_COST * n_docs * m * single**2 * SHARED_TOKEN
+        cost[x < m * left_out + 3 * np.sqrt(m * left_out)] = np.inf
+        best += [(float(c), differ + 1 + int(i), 0, int(i), light) for c, i in zip(cost, x)]
+    q = _some((differ + 1) // 2)
+    m = differ + 1 - q
+    t = (low + top) / 2 / m
+    empty, nearly = np.exp(-t), np.exp(-t) * (1 + t)
+    cost = m + q * t + PAIR_COST * n_docs * ((m - q) * empty**2 + q * nearly**2)
+    best += [(float(c), differ + 1 - int(i), int(i), 0, 0) for c, i in zip(cost, q)]
     return min(best)[1:]
 
 
-@cache
-def bands(num: int, den: int, n_docs: int, longest: int = 1 << 22) -> tuple[Band, ...]:
+def bands(num: int, den: int, n_docs: int, longest: int = 1 << 22, known: tuple[Band, ...] = ()) -> tuple[Band, ...]:
     """Size bands from the least size at which two different sets can link, up to `longest` at least. Any two that can
-    link lie in the same band or in neighbours. A greater `longest` only adds bands at the end."""
-    low, out = -(-num // (den - num)), []
+    link lie in the same band or in neighbours. A greater `longest` only adds bands to those `known`."""
+    out = list(known)
+    low = out[-1].high if out else -(-num // (den - num))
     while low < longest:
         high = max(low + 1, int(low * BAND_RATIO))
         while out and den * (low - 1) // num >= high:
@@ -136,25 +142,26 @@ def band_keys(tokens: np.ndarray, index: int, band: Band) -> np.ndarray:
     return np.concatenate((exact, _mix(total[segment[some]] - value[some] + _mix(place[segment[some]]))))
 
 
-def bands_for(n: int, num: int, den: int, n_docs: int) -> tuple[Band, ...]:
-    """Bands that cover a set of n tokens, however large."""
-    scheme = bands(num, den, n_docs)
-    while n >= scheme[-1].high:
-        scheme = bands(num, den, n_docs, 2 * scheme[-1].high)
-    return scheme
+class Scheme:
+    """The bands of a join. The driver computes those of all usual sizes once and tasks get them with the function; a
+    task that meets a larger set adds bands for it."""
 
+    def __init__(self, num: int, den: int, n_docs: int, longest: int = 1 << 22):
+        self.num, self.den, self.n_docs = num, den, n_docs
+        self.bands = bands(num, den, n_docs, longest)
 
-def set_keys(tokens: np.ndarray, num: int, den: int, n_docs: int) -> np.ndarray:
-    """All keys of a set: its own band's, and those of the band below if a set there can link with it."""
-    n = len(tokens)
-    scheme = bands_for(n, num, den, n_docs)
-    if n < scheme[0].low:  # only an equal set links with it
-        return np.zeros(0, np.uint64)
-    own = next(i for i, b in enumerate(scheme) if n < b.high)
-    keys = [band_keys(tokens, own, scheme[own])]
-    if own and num * n <= den * (scheme[own].low - 1):
-        keys.append(band_keys(tokens, own - 1, scheme[own - 1]))
-    return np.unique(np.concatenate(keys))
+    def keys(self, tokens: np.ndarray) -> np.ndarray:
+        """All keys of a set: its own band's, and those of the band below if a set there can link with it."""
+        n = len(tokens)
+        while n >= self.bands[-1].high:
+            self.bands = bands(self.num, self.den, self.n_docs, 2 * self.bands[-1].high, self.bands)
+        if n < self.bands[0].low:  # only an equal set links with it
+            return np.zeros(0, np.uint64)
+        own = bisect_right(self.bands, n, key=lambda b: b.low) - 1
+        keys = [band_keys(tokens, own, self.bands[own])]
+        if own and self.num * n <= self.den * (self.bands[own].low - 1):
+            keys.append(band_keys(tokens, own - 1, self.bands[own - 1]))
+        return np.unique(np.concatenate(keys))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -204,57 +211,94 @@ def _can_meet(num: int, den: int):
     return test
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, one row per row of docs.
-
-    Two documents link when den * |intersection| >= num * |union| of their n-word shingle sets; component_id is the
-    least doc_id reachable. Null, empty or blank text: an empty set, linked with nothing. Rows of one doc_id count as
-    one document; a null doc_id links with nothing and has no component. Sets are compared by 64-bit shingle hashes.
-    """
-    n_docs = docs.count()
+def _components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, doc_id, h: a hash of the text, n, name: of its set) of docs, and for each name of a set that is not
+    empty its component and, if that holds more than one class of equal sets, least: the least doc_id in it."""
+    scheme = Scheme(num, den, docs.count())
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, names, keys = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 tokens = shingle_set(text.as_py(), n)
                 sizes.append(len(tokens))
-                names.append(_mix(tokens + _M1).sum(dtype=np.uint64).tobytes() + _mix(tokens ^ _M3).sum(dtype=np.uint64).tobytes())
-                keys.append(set_keys(tokens, num, den, n_docs).view(np.int64))
+                names.append(_name(tokens))
+                keys.append(scheme.keys(tokens).view(np.int64))
             ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), lists], ["doc_id", "n", "name", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), lists], ["doc_id", "h", "n", "name", "keys"])
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    read = staged(text.mapInArrow(keyed, "doc_id long, n long, name binary, keys array<long>"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
+    read = staged(text.mapInArrow(keyed, "doc_id long, h long, n long, name binary, keys array<long>").withColumn("row", F.monotonically_increasing_id()))
 
-    # Equal sets are one class, which its least doc_id stands for.
-    classes = staged(read.where("n > 0 AND doc_id IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("least")))
-    classes_ = small(classes, 48)
-    keys = read.where("n > 0").join(classes_, "name").where("doc_id = least").select(F.explode("keys").alias("key"), F.struct(F.col("doc_id").alias("doc"), "n", F.lit(0).cast("long").alias("sim")).alias("d"))
-    two, inside = shared_keys(keys)
-    can = lambda x, y: F.greatest(f"{x}.n", f"{y}.n") * num <= F.least(f"{x}.n", f"{y}.n") * den
-    two = two.where(can("x", "y"))
-    wanted = staged(two.select(F.explode(F.array("x.doc", "y.doc")).alias("doc")).union(inside.select("d.doc")).distinct())
+    # Equal sets are one class. One row stands for it, that of the least doc_id.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "h")).alias("first")
+    classes = read.where("n > 0").groupBy("name").agg(first)
+    classes = staged(classes.select("name", F.col("first.row").alias("doc"), F.col("first.doc_id").alias("id_"), F.col("first.h").alias("h_")))
+    keys = read.select("row", "n", "keys").join(small(classes.select("doc"), 16), F.col("row") == F.col("doc"), "left_semi")
+    inside = shared_keys(keys.select(F.explode("keys").alias("key"), F.struct(F.col("row").alias("doc"), "n").alias("d")))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), n).tobytes() for t in batch.column(1)], pa.binary())], ["doc", "shingles"])
+            sets = [shingle_set(t.as_py(), n) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["name", "shingles"])
+
+    wanted = staged(classes.join(small(staged(inside.select("d.doc").distinct()), 16), "doc", "left_semi"))
+    texts = text.join(small(wanted.select("id_", "h_"), 32), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")), "left_semi")
+    sets = texts.select("text").mapInArrow(shingled, "name binary, shingles binary").join(small(wanted.select("name", "doc"), 40), "name")
+    sets = staged(sets.select("doc", "shingles").dropDuplicates(["doc"]), compression="none")
+
+    def rarest(label: DataFrame) -> DataFrame:
+        some = staged(label.select("d.doc", "of").distinct())
+        return _rare_tokens(sets.join(small(some.select("doc"), 8), "doc", "left_semi"), num, den).join(small(some, 24), F.col("d.doc") == F.col("doc")).select("key", "d", "of")
+
+    can = lambda x, y: F.greatest(f"{x}.n", f"{y}.n") * num <= F.least(f"{x}.n", f"{y}.n") * den
+    found = linked_components(inside, can, lambda pairs: _verified(pairs, sets, num, den), rarest, _can_meet(num, den))
+    of = staged(classes.join(small(found, 16), F.col("doc") == F.col("node")).select("name", "component", "id_"))
+    least = staged(of.groupBy("component").agg(F.min("id_").alias("least")))
+    of = staged(of.join(small(least, 16), "component").select("name", "component", "least"))
+    single = classes.join(small(of.select("name"), 24), "name", "left_anti")
+    drop(inside, wanted, sets, least)
+    return read.drop("keys"), of.union(single.select("name", F.col("doc").alias("component"), F.col("id_").alias("least")))
 
-    sets = staged(text.join(small(wanted, 16), F.col("doc_id") == F.col("doc"), "left_semi").mapInArrow(shingled, "doc long, shingles binary").dropDuplicates(["doc"]), compression="none")
 
-    found = linked_components(two, inside, can, lambda pairs: _verified(pairs, sets, num, den), lambda some: _rare_tokens(sets.join(small(some, 8), "doc", "left_semi"), num, den), _can_meet(num, den))
-    final = classes.join(small(found, 16), F.col("least") == F.col("node"), "left").select("name", F.coalesce("component", "least").alias("component"))
-    final = small(staged(final), 48)
-    out = read.select("doc_id", "n", F.when(F.col("n") > 0, F.col("name")).alias("name")).join(final, "name", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id, one row per row of docs.
+
+    Two documents link when den * |intersection| >= num * |union| of their n-word shingle sets; component_id is the
+    least doc_id reachable. Sets are compared by 64-bit shingle hashes, those of texts of any length.
+
+    Null, empty or blank text: an empty set, linked with nothing; its component_id is its doc_id. A null doc_id: no
+    component_id; others may be linked through such a row, whose doc_id is then not theirs. Repeated rows are linked
+    with each other. Rows of one doc_id with different texts are documents of their own. Empty table: no rows. Further
+    columns of docs are not read.
+    """
+    read, classes = _components(docs, n, num, den)
+    out = read.select("doc_id", "n", F.when(F.col("n") > 0, F.col("name")).alias("name")).join(small(staged(classes), 48), "name", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without those whose component has a smaller doc_id; near duplicates on five-word shingles from 0.8 on."""
-    found = jaccard_components(docs, n, num, den).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(small(staged(found), 16), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component of near duplicates, on five-word shingles from 0.8 on: the one of the least doc_id, and
+    of that of the least hash of its text. A row with a doc_id goes before one without. Rows with an empty set stay all.
+    Repeated rows are near duplicates of each other, and one stays."""
+    read, classes = _components(docs, n, num, den)
+    rows = staged(read.where("n > 0").join(small(staged(classes), 48), "name").select("component", "doc_id", "h"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
+    groups = rows.groupBy("component").agg(first, F.count("*").alias("c")).where("c > 1")
+    keep = staged(groups.select("component", F.col("first.doc_id").alias("keep_id"), F.col("first.h").alias("keep_h")))
+    told = rows.join(small(keep, 40), "component").groupBy("doc_id", "h").agg(F.max(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h"))).alias("first"), F.count("*").alias("c"))
+    gone = staged(told.where("NOT first").select(F.col("doc_id").alias("id_"), F.col("h").alias("h_")))
+    twice = staged(told.where("first AND c > 1").select(F.col("doc_id").alias("id_"), F.col("h").alias("h_")))
+    same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_"))
+    left = packed(docs, F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h")).join(small(gone, 32), same, "left_anti")
+    once = left
+    if not twice.isEmpty():
+        twice = small(twice, 32)
+        once = left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates(["id", "h"]))
+    return once.select(*unpacked(docs.columns))
 
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of all documents: 3-word shingles, similarity 0.9. See jaccard_components."""
     return jaccard_components(table(spark, sf_dir, "documents"))
