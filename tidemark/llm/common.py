@@ -66,9 +66,14 @@ def unpacked(columns: list[str], **changed: Column) -> list[Column]:
     return [(changed[c] if c in changed else F.col(f"doc.`{c}`")).alias(c) for c in columns]
 
 
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """Hint a broadcast if a count proves that the (staged) frame is small; else leave the join to a shuffle."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def small(df: DataFrame, row_bytes: int | Column) -> DataFrame:
+    """Hint a broadcast if the (staged) frame is shown to be small, by a count or, for rows of any length, by the sum of
+    their bytes; else leave the join to a shuffle."""
+    if isinstance(row_bytes, Column):
+        found = df.agg(F.coalesce(F.sum(row_bytes.cast("long")), F.lit(0))).first()[0]
+    else:
+        found = df.count() * row_bytes
+    return F.broadcast(df) if found <= BROADCAST_BYTES else df
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
