@@ -6,7 +6,7 @@ import re
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -19,7 +19,8 @@ LENGTH = 2048
 #: A shard of about so many tokens is packed by one task; its open bins are the only ones left partly filled.
 SHARD_TOKENS = 8_000_000
 OPEN_BINS = 128
-CACHE_WORDS = 200_000
+#: Keys in a generation of the tokenizer's caches: some 200 MB a worker at most.
+CACHE_WORDS = 300_000
 
 # How the tokenizer file splits a normalised text, and the byte alphabet of its vocabulary.
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -28,6 +29,24 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ODD = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏ‐-‧‰-⁞€]|<\\|")
 
 
+class _Cache(dict):
+    """make(key), kept in two generations of at most `most` keys each: when the younger is full it becomes the elder,
+    and keys that are asked for again move over. Common words thus stay however many rare ones pass."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most, self.elder = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.elder.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.most:
+            self.elder = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class WordTokenizer:
     """The ids of texts under a word BPE file, as little-endian 32-bit bytes.
 
@@ -38,30 +57,20 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
-        self.pieces = regex.compile(_PIECES)
+        model, split = self.whole.model, regex.compile(_PIECES).findall
         rest = [b for b in range(256) if b not in set(_PRINTABLE)]
-        self.alphabet = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        tokenizer = self
-
-        class Pieces(dict):
-            def __missing__(self, piece: str) -> bytes:
-                if len(self) >= CACHE_WORDS:
-                    self.clear()
-                spelt = piece.encode().decode("latin1").translate(tokenizer.alphabet)
-                self[piece] = found = array("I", [t.id for t in tokenizer.model.tokenize(spelt)]).tobytes()
-                return found
-
-        class Words(dict):
-            def __missing__(self, word: str) -> bytes:
-                if len(self) >= CACHE_WORDS:
-                    self.clear()
-                lowered = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-                self[word] = found = b"".join(map(pieces.__getitem__, tokenizer.pieces.findall(lowered)))
-                return found
-
-        pieces = Pieces()
-        self.words = Words()
+        alphabet = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+        def piece_ids(piece: str) -> bytes:
+            spelt = piece.encode().decode("latin1").translate(alphabet)
+            return array("I", [t.id for t in model.tokenize(spelt)]).tobytes()
+
+        def word_ids(word: str) -> bytes:
+            lowered = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+            return piece(lowered) if lowered.isalpha() else b"".join(map(piece, split(lowered)))
+
+        piece = _Cache(piece_ids, CACHE_WORDS).__getitem__
+        self.words = _Cache(word_ids, CACHE_WORDS)
 
     def ids(self, text: str) -> bytes:
         if _ODD.search(text):
