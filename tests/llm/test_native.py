@@ -262,6 +262,26 @@ def test_mix_with_propensity_prefers_it(spark):
     assert abs(liked + other - s[0].target) <= 4 and liked > 2 * other
 
 
+def test_mix_follows_inclusion_odds(spark):
+    """Over seeds, each class of propensity is taken as often as its expected copies say, certain copies included."""
+    n = 2400
+    docs = documents(spark, [(i, "a b c d", "s" if i < n else "t") for i in range(2 * n)])
+    for weights in ((1, 4), (5, 3)):
+        rate = min(3.0, 2 * weights[0] / sum(weights))
+        level = rate / 2.5
+        for _ in range(4):  # at the cap of 3 copies the rest goes to the others
+            capped = [g for g in (1, 2, 3, 4) if level * g > 3]
+            level = (4 * rate - 3 * len(capped)) / sum(g for g in (1, 2, 3, 4) if g not in capped)
+        taken = collections.Counter()
+        for seed in (1, 2, 3):
+            out = M.pareto_mix(docs, weights, propensity=F.col("doc_id") % 4 + 1, seed=seed).where("source = 's'")
+            for r in out.groupBy((F.col("doc_id") % 4 + 1).alias("g")).agg(F.avg("copies").alias("c"), F.min("copies").alias("least")).collect():
+                taken[r.g] += r.c / 3
+                assert r.least == math.floor(min(3, level * r.g) + 1e-9)
+        for g in (1, 2, 3, 4):
+            assert taken[g] == pytest.approx(min(3, level * g), abs=0.03)
+
+
 def test_mix_of_odd_tables(spark):
     assert M.pareto_mix(documents(spark, [])).count() == 0
     out = M.pareto_mix(documents(spark, [(1, "a b", "s"), (1, "a b", "s"), (2, None, "t")])).collect()
