@@ -11,20 +11,23 @@ from .common import drop, small, staged
 from .graph import connected_components
 
 
-def shared_keys(keys: DataFrame) -> DataFrame:
-    """From keys (key, d: a struct with doc), a doc at most once under a key: the members (key, d, c, weight) of buckets
-    of c >= 2 docs.
+def shared_keys(keys: DataFrame, can: Callable[[str, str], Column]) -> tuple[DataFrame, DataFrame]:
+    """From keys (key, d: a struct that begins with doc), a doc at most once under a key: two (x, y: structs d, weight),
+    the pairs that meet in buckets of two and for which the test `can` holds, and inside (key, d, c, weight), the members
+    of buckets of c > 2 docs.
 
     Most keys are held once. They are counted as bare numbers, so nothing else of them is shuffled. Of several keys that
     hold the same docs, one stays, and `weight` tells how many they were.
     """
     often = staged(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
     members = staged(keys.join(small(often, 16), "key"))
-    held = members.groupBy("key", "c").agg(F.bit_xor(F.xxhash64("d.doc")).alias("p"), F.bit_xor(F.xxhash64("d.doc", F.lit(1))).alias("q"))
+    pairs = members.where("c = 2").groupBy("key").agg(F.max("d").alias("x"), F.min("d").alias("y"))
+    two = staged(pairs.where(can("x", "y")).groupBy("x", "y").agg(F.count("*").alias("weight")))
+    held = members.where("c > 2").groupBy("key", "c").agg(F.bit_xor(F.xxhash64("d.doc")).alias("p"), F.bit_xor(F.xxhash64("d.doc", F.lit(1))).alias("q"))
     one = staged(held.groupBy("c", "p", "q").agg(F.min("key").alias("key"), F.count("*").alias("weight")).select("key", "weight"))
-    found = staged(members.join(small(one, 16), "key"))
+    inside = staged(members.where("c > 2").join(small(one, 16), "key"))
     drop(often, members, one)
-    return found
+    return two, inside
 
 
 def _crossing(label: DataFrame, can: Callable[[str, str], Column]) -> DataFrame:
@@ -36,19 +39,20 @@ def _crossing(label: DataFrame, can: Callable[[str, str], Column]) -> DataFrame:
     some = open_.where("of <> main").select("key", F.col("d").alias("x"), F.col("of").alias("ox"))
     other = open_.select("key", F.col("d").alias("y"), F.col("of").alias("oy"))
     met = some.join(other, (some.key == other.key) & (F.col("ox") != F.col("oy")) & can("x", "y"))
-    found = staged(met.select(F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b")).distinct())
+    found = staged(met.select(F.greatest("x.doc", "y.doc").alias("a"), F.least("x.doc", "y.doc").alias("b")))
     drop(per, open_)
     return found
 
 
 def linked_components(
+    two: DataFrame,
     inside: DataFrame,
     can: Callable[[str, str], Column],
     verify: Callable[[DataFrame], DataFrame],
     finer: Callable[[DataFrame], DataFrame] | None = None,
     can_finer: Callable[[str, str], Column] | None = None,
 ) -> DataFrame:
-    """node, component over all links between docs that share a bucket of `inside` (key, d, c, weight); `can` is a cheap
+    """node, component over all links between docs that meet in `two` or `inside` (see shared_keys); `can` is a cheap
     necessary test on two structs d, `verify` turns pairs (a, b) into the links (u, v) among them. Docs without a link
     have no row.
 
@@ -63,17 +67,22 @@ def linked_components(
     ranked = inside.join(small(degree, 16), F.col("d.doc") == F.col("doc")).groupBy("key").agg(F.max_by("d", F.struct("degree", -F.col("d.doc"))).alias("hub"))
     ranked = staged(ranked)
     stars = inside.join(small(ranked, 40), "key").where("d.doc <> hub.doc").select(F.col("d").alias("x"), F.col("hub").alias("y"), "weight")
-    pairs = stars.where(can("x", "y")).groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.sum("weight").alias("shared"))
+    pairs = stars.where(can("x", "y")).union(two).groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.sum("weight").alias("shared"))
     first = staged(pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b")))
-    drop(degree, ranked)
     links = staged(verify(first))
     found = staged(connected_components(links))
 
-    label = inside.join(small(found, 16), F.col("d.doc") == F.col("node"), "left").select("key", "d", "c", F.coalesce("component", "d.doc").alias("of"))
+    known = small(found, 16)
+    label = inside.join(known, F.col("d.doc") == F.col("node"), "left").select("key", "d", "c", F.coalesce("component", "d.doc").alias("of"))
     several = staged(label.groupBy("key").agg(F.min("of").alias("p"), F.max("of").alias("q")).where("p <> q").select("key"))
     label = staged(label.join(small(several, 8), "key", "left_semi"))
-    crossed = _crossing(staged(finer(label)) if finer else label, can_finer or can)
+    split = staged(finer(label)) if finer else label
+    crossed = _crossing(split, can_finer or can)
+    apart = two.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+    apart = apart.join(known, F.col("a") == F.col("node"), "left").select("a", "b", F.coalesce("component", "a").alias("oa"))
+    apart = apart.join(known, F.col("b") == F.col("node"), "left").where(F.col("oa") != F.coalesce("component", "b")).select("a", "b")
     seen = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = staged(verify(staged(crossed.join(seen, ["a", "b"], "left_anti"))))
-    drop(several, label, crossed)
+    left = staged(crossed.union(apart).distinct().join(seen, ["a", "b"], "left_anti"))
+    more = staged(verify(left))
+    drop(degree, ranked, first, several, label, crossed, left)
     return found if more.isEmpty() else staged(connected_components(links.union(more)))

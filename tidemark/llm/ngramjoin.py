@@ -236,14 +236,16 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     classes = read.where("n > 0").groupBy("name").agg(first)
     classes = staged(classes.select("name", F.col("first.row").alias("doc"), F.col("first.doc_id").alias("id_"), F.col("first.h").alias("h_")))
     keys = read.select("row", "n", "keys").join(small(classes.select("doc"), 16), F.col("row") == F.col("doc"), "left_semi")
-    inside = shared_keys(keys.select(F.explode("keys").alias("key"), F.struct(F.col("row").alias("doc"), "n").alias("d")))
+    can = lambda x, y: F.greatest(f"{x}.n", f"{y}.n") * num <= F.least(f"{x}.n", f"{y}.n") * den
+    two, inside = shared_keys(keys.select(F.explode("keys").alias("key"), F.struct(F.col("row").alias("doc"), "n").alias("d")), can)
+    met = two.select(F.explode(F.array("x.doc", "y.doc")).alias("doc")).union(inside.select("d.doc")).distinct()
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), n) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["name", "shingles"])
 
-    wanted = staged(classes.join(small(staged(inside.select("d.doc").distinct()), 16), "doc", "left_semi"))
+    wanted = staged(classes.join(small(staged(met), 16), "doc", "left_semi"))
     texts = text.join(small(wanted.select("id_", "h_"), 32), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")), "left_semi")
     sets = texts.select("text").mapInArrow(shingled, "name binary, shingles binary").join(small(wanted.select("name", "doc"), 40), "name")
     sets = staged(sets.select("doc", "shingles").dropDuplicates(["doc"]), compression="none")
@@ -252,13 +254,12 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
         some = staged(label.select("d.doc", "of").distinct())
         return _rare_tokens(sets.join(small(some.select("doc"), 8), "doc", "left_semi"), num, den).join(small(some, 24), F.col("d.doc") == F.col("doc")).select("key", "d", "of")
 
-    can = lambda x, y: F.greatest(f"{x}.n", f"{y}.n") * num <= F.least(f"{x}.n", f"{y}.n") * den
-    found = linked_components(inside, can, lambda pairs: _verified(pairs, sets, num, den), rarest, _can_meet(num, den))
+    found = linked_components(two, inside, can, lambda pairs: _verified(pairs, sets, num, den), rarest, _can_meet(num, den))
     of = staged(classes.join(small(found, 16), F.col("doc") == F.col("node")).select("name", "component", "id_"))
     least = staged(of.groupBy("component").agg(F.min("id_").alias("least")))
     of = staged(of.join(small(least, 16), "component").select("name", "component", "least"))
     single = classes.join(small(of.select("name"), 24), "name", "left_anti")
-    drop(inside, wanted, sets, least)
+    drop(two, inside, wanted, sets, least)
     return read.drop("keys"), of.union(single.select("name", F.col("doc").alias("component"), F.col("id_").alias("least")))
 
 
