@@ -1,5 +1,6 @@
 """Column functions against urllib, and the literal cases."""
 
+import ipaddress
 import random
 from urllib.parse import quote, unquote, urljoin
 
@@ -63,6 +64,25 @@ def test_private_ips(spark):
     assert run(spark, [i if i is not None else (None,) for i in ips], U.is_private_ip) == [True] * 5 + [False, False, True, True]
 
 
+def test_ipv6_like_ipaddress(spark):
+    rng = random.Random(5)
+    heads = ["", "2001:db8", "2001:4860", "fe80", "fc00", "fd12", "64:ff9b", "100", "2002:a00", "2001", "2001:3", "2001:20", "2001:4:112", "3fff:fff", "2606:4700", "ff02", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "::1.2.3.4", "1:2:3:4:5:6:7", "g::1", "1::2::3", ":1", "1:", "12345::", "::", "::1", "2001:1::1", "2001:1::3"]
+    texts = list(heads)
+    for _ in range(300):
+        texts.append(rng.choice(heads) + rng.choice(["::", ":", ":0:", "", "::a:"]) + rng.choice(["", "1", "1:2", "ffff", "1.2.3.4", "0:0:0:0:0:1", "1:2:3:4:5:6"]))
+    texts = sorted({t for t in texts if ":" in t})
+
+    def kind(x):
+        try:
+            a = ipaddress.ip_address(x)
+        except ValueError:
+            return (False, True)
+        return (True, a.is_private or a.is_loopback or a.is_link_local or a.is_reserved)
+
+    want = [kind(t) for t in texts]
+    assert list(zip(run(spark, texts, U.is_ip), run(spark, texts, U.is_private_ip))) == want
+
+
 def test_names_tags_and_sizes(spark):
     assert run(spark, ["a/b/c.txt", "CON", "com1", "readme.txt", "CON.txt", "", ".con", "a\\b"], U.safe_filename) == ["c.txt", "_CON", "_com1", "readme.txt", "_CON.txt", "unnamed", ".con", "a_b"]
     assert run(spark, ['W/"abc"', '"abc"', "w/x", "", '""'], H.normalize_etag) == ["abc", "abc", "x", "", ""]

@@ -1,20 +1,26 @@
-"""URL and path columns. All are native expressions; only malformed percent sequences and odd IPs reach an Arrow UDF."""
+"""URL and path columns, all of them native expressions."""
 
 from __future__ import annotations
 
 import ipaddress
-from urllib.parse import unquote
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Fixed values.
 URL_REGEX = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 RESERVED_NAMES = ["CON", "PRN", "AUX", "NUL", "COM1", "COM2", "COM3", "COM4", "COM5", "COM6", "COM7", "COM8", "COM9", "LPT1", "LPT2", "LPT3", "LPT4", "LPT5", "LPT6", "LPT7", "LPT8", "LPT9"]
 BLOCKED_PORTS = [22, 23, 25, 53, 110, 143, 445, 3306, 3389, 5432, 6379, 27017]
 PRIVATE_RANGES = [("10.0.0.0", 8), ("172.16.0.0", 12), ("192.168.0.0", 16), ("127.0.0.0", 8), ("0.0.0.0", 8), ("169.254.0.0", 16), ("192.0.0.0", 29), ("192.0.0.170", 31), ("192.0.2.0", 24), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("240.0.0.0", 4)]
+# Ranges of IPv6 that are private or reserved, and the public ones inside them.
+PRIVATE_RANGES_6 = ["::/8", "100::/8", "200::/7", "400::/6", "800::/5", "1000::/4", "2001::/23", "2001:db8::/32", "2002::/16", "4000::/3", "6000::/3", "8000::/3", "a000::/3", "c000::/3", "e000::/4", "f000::/5", "f800::/6", "fc00::/7", "fe00::/9", "fe80::/10"]
+PUBLIC_RANGES_6 = ["2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28"]
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once for each row, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def scheme(url: Column) -> Column:
@@ -48,7 +54,7 @@ def host(url: Column) -> Column:
 
 
 def port(url: Column) -> Column:
-    return F.regexp_extract(netloc(url), r":([0-9]{1,5})$", 1).try_cast("int")
+    return F.nullif(F.regexp_extract(netloc(url), r":([0-9]{1,5})$", 1), F.lit("")).cast("int")  # a failing try_cast costs an exception a row
 
 
 def url_parts(url: Column) -> Column:
@@ -109,15 +115,15 @@ def resolve_url(base: Column, href: Column) -> Column:
     )
 
 
-@F.pandas_udf(T.StringType())
-def _unquote(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unquote(x))
+def percent_decode(col: Column) -> Column:
+    """Escapes read as UTF-8 bytes, where bytes that are no UTF-8 become U+FFFD; a % without two hex digits stays."""
 
+    def spelt(part: Column, i: Column) -> Column:
+        escape = part.rlike("^[0-9A-Fa-f]{2}")
+        return F.when(i == 0, F.hex(part)).when(escape, F.concat(F.substring(part, 1, 2), F.hex(F.substring(part, 3, 1 << 30)))).otherwise(F.concat(F.lit("25"), F.hex(part)))
 
-def percent_decode(col: Column) -> Column:
-    """Native where the text is well formed UTF-8; malformed sequences stay as they are (those rows alone use Arrow)."""
-    ok = ~col.contains("%") | col.rlike(r"^(?:[^%]|%[0-7][0-9A-Fa-f]|%[Cc][2-9A-Fa-f]%[89ABab][0-9A-Fa-f]|%[Dd][0-9A-Fa-f]%[89ABab][0-9A-Fa-f]|%[Ee][1-9A-Ca-c]%[89ABab][0-9A-Fa-f]%[89ABab][0-9A-Fa-f])*$")
-    return F.when(~col.contains("%"), col).when(ok, F.try_url_decode(F.replace(col, F.lit("+"), F.lit("%2B")))).otherwise(_unquote(F.when(~ok, col)))
+    raw = F.unhex(F.array_join(F.transform(F.split(col, "%"), spelt), ""))
+    return F.when(~col.contains("%"), col).otherwise(F.make_valid_utf8(raw.cast("string")))
 
 
 def percent_encode(segment: Column, safe: str = "") -> Column:
@@ -195,46 +201,53 @@ def target_root(base: Column, suffix: Column) -> Column:
 
 
 def url_security_verdict(url: Column, base: Column) -> Column:
-    """The first reason against a URL, or null."""
-    name, home = F.rtrim(host(url), F.lit(".")), F.rtrim(host(base), F.lit("."))
-    p, low = path(url), F.lower(url)
+    """The first reason against a URL, or null. The URL is split once."""
     climbs = lambda c: c.contains("/..") | c.startswith("..")
-    once = percent_decode(p)
-    inside = (name == home) | name.endswith(F.concat(F.lit("."), home))
-    before = F.split_part(name, home, F.lit(1))
-    fused = name.contains(home) & ~before.endswith(".") & (before != "")
-    return (
-        F.when(F.coalesce(url, F.lit("")) == "", F.lit("invalid"))
-        .when(~scheme(url).isin("http", "https"), F.lit("scheme"))
-        .when(netloc(url).contains("@"), F.lit("userinfo"))
-        .when(name == "", F.lit("no host"))
-        .when(name.startswith("xn--"), F.lit("punycode"))
-        .when(is_ip(name), F.when(is_private_ip(name), F.lit("private ip")).otherwise(F.lit("ip")))
-        .when(F.coalesce(port(url).isin(BLOCKED_PORTS), F.lit(False)), F.lit("port"))
-        .when(~inside, F.when(fused, F.lit("suffix attack")).otherwise(F.lit("other domain")))
-        .when(climbs(p), F.lit("traversal"))
-        .when(F.lower(p).contains("%2e") & climbs(once), F.lit("encoded traversal"))
-        .when(url.contains("\0") | low.contains("%00"), F.lit("nul"))
-        .when(url.rlike(r"[\r\n\t]"), F.lit("control"))
-        .when(low.rlike("%0d|%0a|%09"), F.lit("encoded control"))
-        .when((F.lower(p).contains("%25") | F.lower(p).contains("%c0%af")) & climbs(percent_decode(once)), F.lit("double encoded traversal"))
-    )
+    parts = {"scheme": scheme(url), "netloc": netloc(url), "name": F.rtrim(host(url), F.lit(".")), "home": F.rtrim(host(base), F.lit(".")), "port": port(url), "path": path(url), "low": F.lower(url)}
+
+    def verdict(u: Column) -> Column:
+        name, home, p, low = u["name"], u["home"], u["path"], u["low"]
+        inside = (name == home) | name.endswith(F.concat(F.lit("."), home))
+        before = F.split_part(name, home, F.lit(1))
+        fused = name.contains(home) & ~before.endswith(".") & (before != "")
+        return (
+            F.when(F.coalesce(url, F.lit("")) == "", F.lit("invalid"))
+            .when(~u["scheme"].isin("http", "https"), F.lit("scheme"))
+            .when(u["netloc"].contains("@"), F.lit("userinfo"))
+            .when(name == "", F.lit("no host"))
+            .when(name.startswith("xn--"), F.lit("punycode"))
+            .when(is_ip(name), F.when(is_private_ip(name), F.lit("private ip")).otherwise(F.lit("ip")))
+            .when(F.coalesce(u["port"].isin(BLOCKED_PORTS), F.lit(False)), F.lit("port"))
+            .when(~inside, F.when(fused, F.lit("suffix attack")).otherwise(F.lit("other domain")))
+            .when(climbs(p), F.lit("traversal"))
+            .when(low.contains("%2e") & F.lower(p).contains("%2e") & climbs(percent_decode(p)), F.lit("encoded traversal"))
+            .when(url.contains("\0") | low.contains("%00"), F.lit("nul"))
+            .when(url.rlike(r"[\r\n\t]"), F.lit("control"))
+            .when(low.rlike("%0d|%0a|%09"), F.lit("encoded control"))
+            .when((F.lower(p).contains("%25") | F.lower(p).contains("%c0%af")) & climbs(percent_decode(percent_decode(p))), F.lit("double encoded traversal"))
+        )
+
+    return _let(F.struct(*[c.alias(k) for k, c in parts.items()]), verdict)
 
 
 def scope_verdict(url: Column, root: Column) -> Column:
     """Why a URL is not strictly below a root, or null."""
-    tail = url_tail(url)
     top = F.when(path(root) == "", F.lit("/")).otherwise(F.concat(F.rtrim(path(root), F.lit("/")), F.lit("/")))
-    rest = F.when(F.length(tail) > F.length(top), F.substr(tail, F.length(top) + 1)).otherwise(F.lit(""))
-    decoded = percent_decode(rest)
-    return (
-        F.when(~has_web_scheme(url), F.lit("scheme"))
-        .when(tail == "", F.lit("no path"))
-        .when(~tail.startswith(top) & (top != "/"), F.lit("outside"))
-        .when(rest.contains(".."), F.lit("traversal"))
-        .when(rest.contains("/.") | rest.contains("./"), F.lit("dot segment"))
-        .when(F.lower(rest).rlike("%2e|%2f") & (decoded.contains("..") | decoded.contains("/.")), F.lit("encoded traversal"))
-    )
+    below = lambda tail, top: F.when(F.length(tail) > F.length(top), F.substr(tail, F.length(top) + 1)).otherwise(F.lit(""))
+
+    def verdict(u: Column) -> Column:
+        rest = u["rest"]
+        return (
+            F.when(~has_web_scheme(url), F.lit("scheme"))
+            .when(u["tail"] == "", F.lit("no path"))
+            .when(~u["tail"].startswith(u["top"]) & (u["top"] != "/"), F.lit("outside"))
+            .when(rest.contains(".."), F.lit("traversal"))
+            .when(rest.contains("/.") | rest.contains("./"), F.lit("dot segment"))
+            .when(F.lower(rest).rlike("%2e|%2f") & (percent_decode(rest).contains("..") | percent_decode(rest).contains("/.")), F.lit("encoded traversal"))
+        )
+
+    split = _let(F.struct(url_tail(url).alias("tail"), top.alias("top")), lambda u: F.struct(u["tail"].alias("tail"), u["top"].alias("top"), below(u["tail"], u["top"]).alias("rest")))
+    return _let(split, verdict)
 
 
 def has_web_scheme(url: Column) -> Column:
@@ -246,34 +259,54 @@ def _ipv4(ip: Column) -> Column:
     return F.when(ip.rlike(r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?!$)|$)){4}$"), F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a * 256 + x))
 
 
-@F.pandas_udf(T.StringType())
-def _ip_kind(s: pd.Series) -> pd.Series:
-    """`private`, `public` or null where the text is no address."""
+def _ipv6(ip: Column) -> Column:
+    """An IPv6 address as 32 hex digits; null for other text. A scope (%...) is left off."""
+    bare = F.lower(F.split_part(ip, F.lit("%"), F.lit(1)))
+    four = _ipv4(F.regexp_extract(bare, r":([0-9.]+)$", 1))
+    tail = F.lower(F.concat(F.lpad(F.hex(F.floor(four / 65536)), 4, "0"), F.lit(":"), F.lpad(F.hex(four % 65536), 4, "0")))
+    plain = F.when(bare.contains("."), F.concat(F.regexp_extract(bare, r"^(.*:)[0-9.]+$", 1), tail)).otherwise(bare)
 
-    def kind(x):
-        try:
-            a = ipaddress.ip_address(x)
-        except ValueError:
-            return None
-        return "private" if a.is_private or a.is_loopback or a.is_link_local or a.is_reserved else "public"
+    def digits(p: Column) -> Column:
+        groups = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
+        left, right = groups(F.split_part(p, F.lit("::"), F.lit(1))), groups(F.split_part(p, F.lit("::"), F.lit(2)))
+        zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0)))
+        every = F.concat(left, F.when(p.contains("::"), zeros).otherwise(F.array().cast("array<string>")), right)
+        shaped = p.rlike("^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)?$")
+        fits = (F.size(every) == 8) & (~p.contains("::") | (F.size(left) + F.size(right) < 8))
+        return F.when(shaped & fits, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
 
-    return s.map(lambda x: None if x is None else kind(x))
+    return F.when(ip.contains(":"), _let(plain, digits))
 
 
 def _other_ip(ip: Column) -> Column:
-    """The kind of an address with a colon (only those rows use Arrow)."""
-    return F.when(ip.contains(":"), _ip_kind(F.when(ip.contains(":"), ip)))
+    """`private` or `public` for an address with a colon, null for other text."""
+
+    def within(x: Column, ranges: list[str]) -> Column:
+        hit = F.lit(False)
+        for net in map(ipaddress.ip_network, ranges):
+            hit = hit | x.between(f"{int(net[0]):032x}", f"{int(net[-1]):032x}")
+        return hit
+
+    def kind(x: Column) -> Column:
+        low = within(x, PRIVATE_RANGES_6) & ~within(x, PUBLIC_RANGES_6)
+        return F.when(x.isNotNull(), F.when(low, F.lit("private")).otherwise(F.lit("public")))
+
+    return F.when(ip.contains(":"), _let(_ipv6(ip), kind))
 
 
 def is_ip(ip: Column) -> Column:
     return _ipv4(ip).isNotNull() | F.coalesce(_other_ip(ip).isNotNull(), F.lit(False))
 
 
-def is_private_ip(ip: Column) -> Column:
-    """Private, loopback, link-local or reserved; text that is no address counts as private."""
-    n = _ipv4(ip)
+def _private_ipv4(n: Column) -> Column:
     hit = F.lit(False)
     for start, bits in PRIVATE_RANGES:
         low = int(ipaddress.ip_address(start))
         hit = hit | n.between(low, low + (1 << (32 - bits)) - 1)
-    return F.when(n.isNotNull(), hit).otherwise(F.coalesce(_other_ip(ip) == "private", F.lit(True)))
+    return hit
+
+
+def is_private_ip(ip: Column) -> Column:
+    """Private, loopback, link-local or reserved; text that is no address counts as private."""
+    n = _ipv4(ip)
+    return F.when(n.isNotNull(), _private_ipv4(n)).otherwise(F.coalesce(_other_ip(ip) == "private", F.lit(True)))
