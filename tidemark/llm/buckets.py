@@ -69,14 +69,13 @@ def linked_components(
     stars = inside.join(small(ranked, 40), "key").where("d.doc <> hub.doc").select(F.col("d").alias("x"), F.col("hub").alias("y"), "weight")
     pairs = stars.where(can("x", "y")).union(two).groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.sum("weight").alias("shared"))
     first = staged(pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b")))
-    links = staged(verify(first))
-    found = staged(connected_components(links))
+    found = staged(connected_components(verify(first)))
 
     known = small(found, 16)
     label = inside.join(known, F.col("d.doc") == F.col("node"), "left").select("key", "d", "c", F.coalesce("component", "d.doc").alias("of"))
     several = staged(label.groupBy("key").agg(F.min("of").alias("p"), F.max("of").alias("q")).where("p <> q").select("key"))
     label = staged(label.join(small(several, 8), "key", "left_semi"))
-    split = staged(finer(label)) if finer else label
+    split = staged(finer(label) if finer else label.select("key", "d", "of"))
     crossed = _crossing(split, can_finer or can)
     apart = two.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
     apart = apart.join(known, F.col("a") == F.col("node"), "left").select("a", "b", F.coalesce("component", "a").alias("oa"))
@@ -84,5 +83,12 @@ def linked_components(
     seen = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     left = staged(crossed.union(apart).distinct().join(seen, ["a", "b"], "left_anti"))
     more = staged(verify(left))
-    drop(degree, ranked, first, several, label, crossed, left)
-    return found if more.isEmpty() else staged(connected_components(links.union(more)))
+    drop(degree, ranked, first, several, label, split, crossed, left)
+    if more.isEmpty():
+        return found
+    # The further links join whole components, so only those are put together.
+    apart = more.join(known, F.col("u") == F.col("node"), "left").select("v", F.coalesce("component", "u").alias("u"))
+    apart = apart.join(known, F.col("v") == F.col("node"), "left").select("u", F.coalesce("component", "v").alias("v"))
+    joined = small(staged(connected_components(apart).select(F.col("node").alias("was"), F.col("component").alias("now"))), 16)
+    every = found.union(more.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(known, "node", "left_anti").select("node", F.col("node").alias("component")))
+    return staged(every.join(joined, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component")))

@@ -62,40 +62,60 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray,
     return centre.astype(np.float32), (vectors @ centre.T).max(1)
 
 
+def document_frequencies(labelled: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of labelled documents that have a letter, and in how many of them each bucket occurs. Each task sums
+    up its own documents, so a task sends one row a bucket."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BUCKETS + 1, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                c = ngram_counts(text.as_py())
+                if c:
+                    n[c[0]] += 1
+                    n[BUCKETS] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n), pa.int32()), pa.array(n[n > 0], pa.int64())], ["at", "n"])
+
+    out = np.zeros(BUCKETS + 1)
+    for at, n in labelled.select("text").mapInArrow(summed, "at int, n long").groupBy("at").agg(F.sum("n")).collect():  # at most BUCKETS + 1 rows
+        out[at] = n
+    return int(out[BUCKETS]), out[:BUCKETS]
+
+
 def fit(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, centroids: int = CENTROIDS) -> dict:
     """The model: idf, centroids, and for each its language and the cosine under which a text is rejected.
 
-    `labelled` has doc_id, text and lang. A bounded sample is drawn by a hash of doc_id; each language's sample is
-    clustered in one task (at most a few thousand sparse vectors). What reaches the driver is the model alone, of
-    languages x centroids x buckets numbers. A text is rejected below a quarter of the cosine that all but one in a
-    thousand texts of the centroid's language reach.
+    `labelled` has doc_id, text and lang; rows without one of them teach nothing. Document frequencies are counted over
+    all of them. The centroids come from a bounded sample drawn by a hash of doc_id (of rows with one doc_id and lang, the
+    text that is least by its hash); each language's sample is clustered in one task (at most a few thousand sparse
+    vectors). What reaches the driver is the model alone, of languages x centroids x buckets numbers. A text is rejected
+    below a quarter of the cosine that all but one in a thousand texts of the centroid's language reach.
     """
     known = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
     shares = F.broadcast(staged(known.groupBy("lang").count().select(F.col("lang").alias("lang_"), (F.lit(float(sample_per_lang)) / F.col("count")).alias("share"))))
     drawn = known.join(shares, F.col("lang") == F.col("lang_")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    drawn = drawn.groupBy("lang", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(lang, ngram_counts(text.as_py())) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1))]
-            rows = [(lang, *c) for lang, c in rows if c]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], ["lang", "at", "n"])
-
-    sample = staged(drawn.dropDuplicates(["lang", "doc_id"]).select("lang", "text").mapInArrow(counts, "lang string, at array<int>, n array<int>"))
-    n = sample.count()
-    df = np.zeros(BUCKETS)
-    for bucket, c in sample.select(F.explode("at").alias("at")).groupBy("at").count().collect():  # at most BUCKETS rows
-        df[bucket] = c
+            rows = [(lang, doc, ngram_counts(text.as_py())) for lang, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))]
+            rows = [(lang, doc, *c) for lang, doc, c in rows if c]
+            arrays = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays(arrays, ["lang", "doc_id", "at", "n"])
+
+    n, df = document_frequencies(known)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.1)
 
     def clusters(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc_id")  # they come in any order
         vectors = np.zeros((len(rows), BUCKETS), np.float32)
         for i, (at, c) in enumerate(zip(rows["at"], rows["n"])):
             vectors[i, at] = _unit(at, c, idf)
-        order = np.lexsort(vectors[:, :64].T)  # the rows come in any order
-        centre, cosine = cluster(vectors[order], centroids)
+        centre, cosine = cluster(vectors, centroids)
         least = 0.25 * float(np.quantile(cosine, 0.001))
         return pd.DataFrame({"lang": rows["lang"].iloc[0], "centre": [c.tobytes() for c in centre], "least": least})
 
+    sample = drawn.select("lang", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(counts, "lang string, doc_id long, at array<int>, n array<int>")
     made = sample.groupBy("lang").applyInPandas(clusters, "lang string, centre binary, least double").orderBy("lang", "centre").collect()
     centre = np.stack([np.frombuffer(r.centre, np.float32) for r in made]) if made else np.zeros((0, BUCKETS), np.float32)
     return {"idf": idf, "centres": centre, "langs": [r.lang for r in made], "least": [r.least for r in made]}
@@ -104,7 +124,8 @@ def fit(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, centroids:
 def identify(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
     """The columns `keep`, and lang_pred, score (cosine to the nearest centroid, 0 to 1), rejected.
 
-    Null text, or text without a letter: `und`, score 0, rejected. An empty model says `und` for all.
+    Null text, or text without a letter: `und`, score 0, rejected. An empty model says `und` for all. Of centroids that
+    are equally near, the first by language. Texts of any length count whole; repeated rows get equal results.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in keep]
@@ -138,6 +159,11 @@ def held_out(mod: int, rest: int):
 
 
 def op2_nearest_centroid_langid(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, rejected of all documents, learned from those that are not held out.
+
+    Null, empty or letterless text: `und`, score 0. A null doc_id is not held out and teaches nothing. Repeated rows:
+    one row each. Empty table: no rows; no labelled row: `und` for all. Further columns are not read.
+    """
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out(4, 2)))
     return identify(docs, model, "doc_id").select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "rejected")

@@ -12,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import small, staged, table
 from .langid import held_out
 
 BUCKETS = 1 << 22
 #: The machine is fitted on at most about so many labelled documents of either label.
 SAMPLE_PER_LABEL = 8000
-#: Terms that the machine knows: those of the sample whose rate differs most between the labels.
+#: Terms that the machine knows: those whose rate differs most between the labels.
 TERMS = 8192
 FACTORS = 8
 STEM = 5
@@ -79,13 +79,34 @@ def train(rows: list[np.ndarray], label: np.ndarray, n_terms: int, factors: int
     return float(w0), w, v
 
 
+def term_counts(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """term, a, b: in how many of the labelled documents with label 1 and 0 each term occurs; term -1 counts the
+    documents. Each task sums up its own documents, so a term costs one row a task. `known` (id_, toxic) is joined by
+    doc_id, a shuffle of the labels and the labelled texts where the labels are no small table."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, BUCKETS + 1), np.int32)
+        for batch in batches:
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                n[toxic, [*terms(text.as_py()), BUCKETS]] += 1
+        at = np.flatnonzero(n.any(0))
+        name = np.where(at == BUCKETS, -1, at)
+        yield pa.RecordBatch.from_arrays([pa.array(name, pa.int32()), pa.array(n[1, at], pa.int64()), pa.array(n[0, at], pa.int64())], ["term", "a", "b"])
+
+    one = staged(known.groupBy("id_").agg(F.max("toxic").alias("toxic")))
+    texts = docs.where("text IS NOT NULL").join(small(one, 16), F.col("doc_id") == F.col("id_")).select("toxic", "text")
+    return texts.mapInArrow(summed, "term int, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = SAMPLE_PER_LABEL, n_terms: int = TERMS) -> dict:
     """The machine, from docs (doc_id, text) and labels (doc_id, toxic).
 
-    A bounded sample of either label is drawn from `labels` by a hash of doc_id. Only that (two numbers a row, in a
-    number bounded by the parameter) is broadcast to the texts, which are turned into hashed terms where they lie; one
-    task then fits on those sparse rows. The driver gets the weights alone: `n_terms` x (factors + 1) numbers. Rows with
-    a null label, text or doc_id teach nothing; of rows that share a doc_id, one does.
+    The terms are those whose rates differ most between the labels, by counts over all labelled documents; a term that
+    differs nowhere alone is not among them. The machine is fitted on a bounded sample of either label, drawn from `labels` by a hash of doc_id. Only that
+    (two numbers a row, in a number bounded by the parameter) is broadcast to the texts, which are turned into hashed
+    terms where they lie; one task then fits on those sparse rows. The driver gets the weights alone: `n_terms` x
+    (factors + 1) numbers. Rows with a null label, text or doc_id teach nothing; of labels that share a doc_id the largest
+    counts, of texts that do, the sample takes the least by its hash.
     """
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id_"), F.col("toxic").cast("int").alias("toxic"))
     shares = F.broadcast(staged(known.groupBy("toxic").count().select(F.col("toxic").alias("toxic_"), (F.lit(float(sample_per_label)) / F.col("count")).alias("share"))))
@@ -98,15 +119,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = SAMPLE_PER_L
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "toxic", "terms"])
 
     texts = docs.where("text IS NOT NULL").join(F.broadcast(drawn), F.col("doc_id") == F.col("id_")).select(F.col("id_").alias("doc_id"), "toxic", "text")
-    sample = staged(texts.mapInArrow(hashed, "doc_id long, toxic int, terms array<int>").dropDuplicates(["doc_id"]))
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = staged(texts.select("doc_id", "toxic", "text").mapInArrow(hashed, "doc_id long, toxic int, terms array<int>"))
 
-    # Choosing the terms is a count by term and label, and the largest z-scores of it.
-    n = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
-    n1, n0 = max(n.get(1, 0), 1), max(n.get(0, 0), 1)
-    by = sample.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where("a + b >= 3")
+    # Choosing the terms is a count by term and label, over all labelled documents.
+    counts = staged(term_counts(docs, known.select("id_", "toxic")))
+    n = counts.where("term < 0").first()
+    n1, n0 = (max(n.a, 1), max(n.b, 1)) if n else (1, 1)
     rate = (F.col("a") + F.col("b") + 1) / (n1 + n0 + 2)
     score = F.abs(F.col("a") / n1 - F.col("b") / n0) / F.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0))
-    chosen = [r[0] for r in by.select("term", score.alias("z")).where("z > 3").orderBy(F.desc("z"), "term").limit(n_terms).collect()]
+    by = counts.where("term >= 0 AND a + b >= 3").select("term", score.alias("z"))
+    chosen = [r[0] for r in by.where("z > 3").orderBy(F.desc("z"), "term").limit(n_terms).collect()]
     place = {t: i for i, t in enumerate(chosen)}
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -145,6 +168,12 @@ def score_toxicity(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
 
 
 def op6_factorization_toxicity(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of all documents, learned from labels of those that are not held out.
+
+    Null and empty texts: the score of the machine's bias. A null doc_id is not held out and teaches nothing. Repeated
+    rows and equal texts have equal scores; a score of exactly 0.5 predicts 1. Texts of any length count whole. Empty
+    table: no rows; no label: scores near 0. Further columns are not read.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = fit(docs, labels.where(~held_out(5, 0)))
     scored = score_toxicity(docs, model, "doc_id")
