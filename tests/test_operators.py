@@ -124,12 +124,12 @@ def test_chunk_failures(spark):
     assert [r.file_failed for r in out] == [False, False, True, False]
 
 
-def test_breaker_steps():
-    state, names = M.FRESH, []
-    for at, ok in [(0, False), (1, False), (2, False), (3, True), (70, True), (71, True), (72, False), (140, False)]:
-        state = M.breaker_step(state, at, ok, failures=3, recovery_s=60, successes=2)
-        names.append(state[0])
-    assert names == ["closed", "closed", "open", "open", "half-open", "closed", "closed", "closed"]
+def test_failure_runs(spark):
+    rows = [("a", i, i, i not in (1, 2, 5)) for i in range(7)] + [("b", i, i, False) for i in range(3)]
+    log = spark.createDataFrame(rows, "domain string, event_id long, t long, ok boolean").withColumn("ts", F.timestamp_seconds("t"))
+    out = M.failure_runs(log).select("domain", F.unix_seconds("start_ts"), F.unix_seconds("end_ts"), "failures").collect()
+    assert sorted(map(tuple, out)) == [("a", 1, 2, 2), ("a", 5, 5, 1), ("b", 0, 2, 3)]
+
 
 
 def test_inventory_and_empty_dirs(spark, tmp_path):

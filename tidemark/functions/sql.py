@@ -2,20 +2,48 @@
 
 from __future__ import annotations
 
+import ipaddress
 import re
 
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .headers import _blake2b
-from .urls import URL_REGEX, _ip_kind, _unquote
+from .urls import URL_REGEX
 
 _DOUBLE, _SINGLE = re.compile('href="([^"]*)"'), re.compile("href='([^']*)'")
 
 
+@F.pandas_udf("string")
+def _ip_kind(s: pd.Series) -> pd.Series:
+    """`private`, `public` or null where the text is no address."""
+
+    def kind(x):
+        try:
+            a = ipaddress.ip_address(x)
+        except ValueError:
+            return None
+        return "private" if a.is_private or a.is_loopback or a.is_link_local or a.is_reserved else "public"
+
+    return s.map(lambda x: None if x is None else kind(x))
+
+
+#: Native bodies over one text u.
+_BODIES = {
+    "url_unquote": """if(contains(u, '%'), make_valid_utf8(cast(unhex(array_join(transform(split(u, '%'), (p, i) -> case when i = 0 then hex(p)
+ when p rlike '^[0-9A-Fa-f]{2}' then concat(substring(p, 1, 2), hex(substring(p, 3))) else concat('25', hex(p)) end), '')) as string)), u)""",
+    "url_parent": "regexp_extract(u, '(?s)^(.*/)', 1)",
+    "url_redacted": "regexp_replace(regexp_replace(regexp_replace(u, '(?s)#.*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*://)[^/?#]*@', '$1'), '(?s)[?].+$', '?<redacted>')",
+    "url_site": "regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)",
+    "url_is_directory": "cast(endswith(u, '/') as string)",
+    "url_has_web_scheme": "cast(u rlike '(?i)^https?://' as string)",
+    "normal_etag": "coalesce(trim('\"' from regexp_replace(trim(u), '^[Ww]/', '')), '')",
+}
+
+
 def register(spark: SparkSession) -> None:
     """The Arrow functions, the link table function, and native SQL functions over URLs."""
-    spark.udf.register("url_unquote", _unquote)
     spark.udf.register("blake2b_hex", _blake2b)
     spark.udf.register("ip_kind", _ip_kind)
 
@@ -31,5 +59,6 @@ def register(spark: SparkSession) -> None:
     parts["url_host"] = f"lower(regexp_extract(regexp_extract(u, '{pattern}', 2), '^(?:.*@)?([^:]*)', 1))"
     parts["url_tail"] = "regexp_extract(u, '(?s)^.*?://[^/]*(/.*)$', 1)"
     parts["url_filename"] = "substring_index(regexp_extract(u, '(?s)^.*?://[^/]*(/.*)$', 1), '/', -1)"
-    for name, body in parts.items():
+    parts["url_fragment"] = f"regexp_extract(u, '{pattern}', 5)"
+    for name, body in (parts | _BODIES).items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(u STRING) RETURNS STRING RETURN {body}")

@@ -9,16 +9,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import relative_path
+from ..session import shared_folder
 from ..sources.tables import ancestors
 from .links import excluded_dir
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage: a table in spark.checkpoint.dir, which all executors share; where it is unset, the plan goes on."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
-    path = f"{folder.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    """Cut lineage: a table in the folder that all executors share."""
+    path = f"{shared_folder(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from ..operators import logs as G
 from ..operators import reconcile as R
 from ..operators import transfers as X
 from ..operators import trees as T
+from ..session import shared_folder
 from ..sources import tables as S
 from ..streaming import logs as M
 from .views import ROOT, oracle, view
@@ -247,12 +249,15 @@ def f3_skip_navigation(spark, d):
     return L.extract_links(_pages(spark, d)).agg(F.count("*").alias("n_links"), F.count_if(~F.col("href").isin("../", "./") & ~F.col("href").startswith("?")).alias("n_content"))
 
 
-@query(rf"select url, {_HOST} = 'site1.example.org' or true as web, regexp_matches(url, '(?i)^https?://') as scheme_ok, regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) = regexp_extract((select min(url) from pages), '^[A-Za-z]+://([^/?#]*)', 1) as in_scope from pages")
+_MIXED = "case when page_id % 4 = 0 then replace(url, 'https:', 'ftp:') when page_id % 4 = 1 then replace(url, '.example.', '.example.net.') else url end"
+
+
+@query(rf"select page_id, u, regexp_matches(u, '(?i)^https?://') as scheme_ok, regexp_matches(u, '(?i)^https?://') and regexp_extract(u, '^[A-Za-z]+://([^/?#]*)', 1) = regexp_extract((select min(url) from pages), '^[A-Za-z]+://([^/?#]*)', 1) as in_scope from (select page_id, {_MIXED} as u from pages)")
 def f4_f6_scope(spark, d):
-    pages = _pages(spark, d)
+    pages = view(spark, d, "pages")
     first = pages.agg(F.concat(F.regexp_extract(F.min("url"), "^([A-Za-z]+://[^/?#]*)", 1), F.lit("/")).alias("base"))
-    u = F.col("url")
-    return pages.crossJoin(F.broadcast(first)).select("url", F.lit(True).alias("web"), U.has_web_scheme(u).alias("scheme_ok"), L.in_base_scope(u, F.col("base")).alias("in_scope"))
+    mixed = pages.select("page_id", F.expr(_MIXED).alias("u"))
+    return mixed.crossJoin(F.broadcast(first)).select("page_id", "u", U.has_web_scheme(F.col("u")).alias("scheme_ok"), L.in_base_scope(F.col("u"), F.col("base")).alias("in_scope"))
 
 
 _ODD_URL = "case when o_orderkey % 8 = 0 then 'ftp://archive.example.org/data/a' when o_orderkey % 8 = 1 then 'https://u@archive.example.org/data/' when o_orderkey % 8 = 2 then 'https://archive.example.org.evil.net/data/x' when o_orderkey % 8 = 3 then 'https://archive.example.org/data/../x' when o_orderkey % 8 = 4 then 'https://10.0.0.' || cast(o_orderkey % 250 as S) || '/data/' when o_orderkey % 8 = 5 then 'https://archive.example.org:22/data/' when o_orderkey % 8 = 6 then 'https://archive.example.org/data/%2e%2e/x' else 'https://archive.example.org/data/o' || cast(o_orderkey as S) end"
@@ -288,9 +293,9 @@ def f11_fresh_entries(spark, d):
     return R.fresh_entries(view(spark, d, "request_log"), "ts", 7 * 86400, F.lit(AS_OF)).select("event_id")
 
 
-@query("select domain as path, max(ts) as last_activity from request_log where event_id % 3 = 0 and ts < timestamp '2024-01-30 12:00:00' group by 1 having max(ts) < timestamp '2024-01-30 00:00:00'")
+@query("select domain as path, max(ts) as last_activity from request_log where ts < timestamp '2024-01-30 12:00:00' group by 1 having max(ts) < timestamp '2024-01-30 00:00:00'")
 def f12_stale_partials(spark, d):
-    log = view(spark, d, "request_log").where("event_id % 3 = 0 AND ts < timestamp_ntz '2024-01-30 12:00:00'")
+    log = view(spark, d, "request_log").where("ts < timestamp_ntz '2024-01-30 12:00:00'")
     return X.stale_partials(log.select(F.col("domain").alias("path"), F.col("ts").alias("last_activity")), F.lit(AS_OF))
 
 
@@ -374,11 +379,16 @@ def j9_domain_profile(spark, d):
     return R.domain_profile(log.select("domain").distinct(), G.throttled_domains(log, F.lit(AS_OF).cast("timestamp")), KNOWN_SLOW)
 
 
-@query("""with recursive c as (select src, dst, 1 as hops from redirects union all select c.src, r.dst, c.hops + 1 from c join redirects r on c.dst = r.src where c.hops < 30)
- select src, arg_max(dst, hops) as final_url, cast(max(hops) as integer) as hops, 'resolved' as outcome from c group by src""")
+_EXTRA = "select o_orderkey as k, concat('https://archive.example.org/', x, cast(o_orderkey as S)) as src, concat(case when x = 'out' then 'https://mirror.example.net/' else 'https://archive.example.org/' end, y, cast(o_orderkey as S)) as dst from orders, (values ('a', 'b'), ('b', 'a'), ('out', 'c')) t(x, y) where o_orderkey % 50 = 0"
+
+
+@query(f"""with recursive c as (select src, dst, 1 as hops from redirects union all select c.src, r.dst, c.hops + 1 from c join redirects r on c.dst = r.src where c.hops < 11)
+ select src, arg_max(dst, hops) filter (hops <= 10) as final_url, cast(least(max(hops), 10) as integer) as hops, case when max(hops) > 10 then 'too long' else 'resolved' end as outcome from c group by src
+ union all select src, case when contains(src, '/out') then src else dst end, case when contains(src, '/out') then 0 else 1 end, case when contains(src, '/out') then 'blocked' else 'loop' end from ({_EXTRA.replace("as S)", "as varchar)")})""")
 def j10_resolve_redirects(spark, d):
-    hops = max(10, view(spark, d, "redirects").count().bit_length())
-    return T.resolve_redirects(view(spark, d, "redirects"), lambda u: u.startswith("https://archive.example.org/"), hops)
+    view(spark, d, "orders").createOrReplaceTempView("tidemark_orders")
+    extra = spark.sql(_EXTRA.replace("as S)", "as string)").replace("from orders", "from tidemark_orders")).select("src", "dst")
+    return T.resolve_redirects(view(spark, d, "redirects").select("src", "dst").union(extra), lambda u: u.startswith("https://archive.example.org/"))
 
 
 @query(f"""select url as path, case when url in (select replace(url, '/old_', '/') from ({_OBSOLETE}) where length(url) % 2 = 0) then url else replace(url, '/data/', '/trash/') end as target from ({_OBSOLETE}) where false
@@ -689,10 +699,11 @@ def c3_retry_accounts(spark, d):
     return G.retry_accounts(c).select("url", F.col("attempts").cast("long").alias("attempts"), "failed", "verdict")
 
 
-@query(f"select url, 'preview' as action from ({_OBSOLETE})")
+@query(f"select url, policy, action from ({_OBSOLETE}), (values ('safe', 'keep'), ('preview', 'preview'), ('delete', 'delete'), ('move', 'move'), ('move, dry', 'preview')) p(policy, action)")
 def c4_cleanup_plan(spark, d):
     gone = R.obsolete_files(view(spark, d, "local_files"), _remote(spark, d), _pages(spark, d))
-    return R.cleanup_plan(gone, "delete", dry_run=True).select("url", "action")
+    plans = [R.cleanup_plan(gone, p.split(",")[0], dry_run=p.endswith("dry")).select("url", F.lit(p).alias("policy"), "action") for p in ("safe", "preview", "delete", "move", "move, dry")]
+    return reduce(lambda a, b: a.union(b), plans)
 
 
 @query("""with p as (select r_name as volume, cast(sum(size) as bigint) as needed from (select regexp_extract(dir_url, '/data/([^/]*)/', 1) as v, size from remote_files) f join region on v = lower(replace(r_name, ' ', '_')) group by 1)
@@ -718,25 +729,19 @@ _INCIDENTS = """select domain, s as start_ts, s + interval '14 days' as end_ts,
 
 @query(_INCIDENTS)
 def t1_incident_windows(spark, d):
-    out = M.run_available(M.incident_windows(_stream(spark, d)), "complete")
+    out = M.run_available(M.incident_windows(_stream(spark, d)), "update", ["domain", "start_ts"])
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_ts", "end_ts")})
 
 
 @query("select time_bucket(interval '10 seconds', ts) as start_ts, count(*) as n_files, cast(sum(bytes) as bigint) as bytes, round(sum(bytes) / 1000000.0::double / 10, 9) as mb_per_s from request_log group by 1")
 def t2_throughput(spark, d):
-    out = M.run_available(M.throughput(_stream(spark, d)), "complete")
+    out = M.run_available(M.throughput(_stream(spark, d)), "update", ["start_ts"])
     return out.withColumn("start_ts", F.col("start_ts").cast("timestamp_ntz")).withColumn("mb_per_s", F.round("mb_per_s", 9))
 
 
-@query()
-def t3_breaker_stream(spark, d):
-    return M.run_available(M.breaker_stream(_stream(spark, d).withColumn("ok", F.col("status") < 400)))
-
-
-@query()
-def t3_breaker_replay(spark, d):
-    log = view(spark, d, "request_log").withColumn("ts", F.col("ts").cast("timestamp"))
-    return M.breaker_replay(log.withColumn("ok", F.col("status") < 400))
+@query("""select domain, min(ts) as start_ts, max(ts) as end_ts, count(*) as failures from (select *, sum(case when status < 400 then 1 else 0 end) over (partition by domain order by ts, event_id rows unbounded preceding) as run from request_log) where status >= 400 group by domain, run""")
+def t3_failure_runs(spark, d):
+    return M.failure_runs(view(spark, d, "request_log").withColumn("ok", F.col("status") < 400))
 
 
 @query("select distinct domain from request_log")
@@ -753,7 +758,7 @@ def t5_transfer_sessions(spark, d):
 
 @query("""select domain, s as start_ts, count(*) as n, round(count(*) filter (status >= 400) / count(*), 9) as error_rate, round(avg(rtt_ms) filter (status < 400), 6) as avg_rtt_ms from (select *, time_bucket(interval '10 minutes', ts) - to_minutes(cast(i * 10 as integer)) as s from request_log, range(6) t(i)) group by domain, s""")
 def t6_rolling_profile(spark, d):
-    out = M.run_available(M.rolling_profile(_stream(spark, d)), "complete")
+    out = M.run_available(M.rolling_profile(_stream(spark, d)), "update", ["domain", "start_ts"])
     return out.withColumn("start_ts", F.col("start_ts").cast("timestamp_ntz")).withColumn("error_rate", F.round("error_rate", 9)).withColumn("avg_rtt_ms", F.round("avg_rtt_ms", 6))
 
 
@@ -761,11 +766,11 @@ def t6_rolling_profile(spark, d):
 def t7_incremental_reconcile(spark, d):
     import uuid
 
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/tidemark-streams').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     listing = _stream(spark, d).select(F.col("event_id").cast("string").alias("url"))
     snapshot = lambda s: view(s, d, "events").where("event_id % 3 <> 0").select(F.col("event_id").cast("string").alias("url"))
-    M.incremental_reconcile(listing, snapshot, lambda df, _: df.write.mode("append").parquet(f"{base}/out"), f"{base}/progress").awaitTermination()
-    return spark.read.schema("url string, side string").parquet(f"{base}/out")
+    M.incremental_reconcile(listing, snapshot, lambda df, n: df.write.mode("overwrite").parquet(f"{base}/out/batch={n}"), f"{base}/progress").awaitTermination()
+    return spark.read.schema("url string, side string, batch long").parquet(f"{base}/out").drop("batch")
 
 
 # SQL surface

@@ -1,14 +1,15 @@
-"""Request-log streams: incident windows, throughput, endpoint states, de-duplication, sessions, incremental reconcile."""
+"""Request-log streams: incident windows, throughput, failure runs, de-duplication, sessions, incremental reconcile."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
+
+from ..session import shared_folder
 
 LATE = "1 day"
 
@@ -45,86 +46,34 @@ def rolling_profile(log: DataFrame, width: str = "1 hour", step: str = "10 minut
     return told.select("domain", F.col("w.start").alias("start_ts"), "n", (F.col("errors") / F.col("n")).alias("error_rate"), "avg_rtt_ms")
 
 
-CLOSED, OPEN, HALF_OPEN = "closed", "open", "half-open"
-BREAKER_SCHEMA = "domain string, event_id long, ts timestamp, ok boolean, state string"
-
-
-def breaker_step(state: tuple, at: float, ok: bool, failures: int = 5, recovery_s: float = 60.0, successes: int = 3) -> tuple:
-    """The next (name, failures, successes, time of last failure, time of half-open) after one result."""
-    name, failed, good, last, half = state
-    if name == HALF_OPEN and at - half >= recovery_s:
-        name, good = OPEN, 0
-    elif name == OPEN and at - last >= recovery_s:
-        name, good, half = HALF_OPEN, 0, at
-    if ok:
-        if name == HALF_OPEN:
-            good += 1
-            if good >= successes:
-                name, failed, good = CLOSED, 0, 0
-        elif name == CLOSED:
-            failed = max(0, failed - 1)
-    else:
-        last = at
-        if name == HALF_OPEN:
-            name, good = OPEN, 0
-        elif name == CLOSED:
-            failed += 1
-            if failed >= failures:
-                name = OPEN
-    return name, failed, good, last, half
-
-
-FRESH = (CLOSED, 0, 0, 0.0, 0.0)
-
-
-def _told(domain: str, rows: pd.DataFrame, state: tuple) -> tuple[pd.DataFrame, tuple]:
-    names = []
-    for at, ok in zip(rows["ts"].astype("int64") / 1e9 if rows["ts"].dtype == "datetime64[ns]" else rows["ts"].map(lambda t: t.timestamp()), rows["ok"]):
-        state = breaker_step(state, at, bool(ok))
-        names.append(state[0])
-    return rows.assign(domain=domain, state=names)[["domain", "event_id", "ts", "ok", "state"]], state
-
+def failure_runs(log: DataFrame) -> DataFrame:
+    """domain, start_ts, end_ts, failures: the longest stretches of failed results (domain, event_id, ts, ok) of each
+    domain without a success between, by event time."""
+    order = Window.partitionBy("domain").orderBy("ts", "event_id")
+    runs = log.withColumn("run", F.sum(F.col("ok").cast("int")).over(order)).where("NOT ok")
+    return runs.groupBy("domain", "run").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("failures")).drop("run")
 
-def breaker_replay(log: DataFrame) -> DataFrame:
-    """The endpoint's state after each result (domain, event_id, ts, ok), in event time. Rows stream through in order,
-    so a domain of any size needs the memory of one batch."""
 
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        domain, state = None, FRESH
-        for batch in batches:
-            for name, rows in batch.groupby("domain", sort=False):
-                if name != domain:
-                    domain, state = name, FRESH
-                out, state = _told(name, rows, state)
-                yield out
-
-    return log.select("domain", "event_id", "ts", "ok").repartition("domain").sortWithinPartitions("domain", "ts", "event_id").mapInPandas(replay, BREAKER_SCHEMA)
-
-
-def breaker_stream(log: DataFrame) -> DataFrame:
-    """The same on a stream: the state of each domain is kept between batches."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out, state = _told(key[0], rows, tuple(kept.get) if kept.exists else FRESH)
-        kept.update(state)
-        yield out
-
-    state = "name string, failed int, good int, last double, half double"
-    return log.select("domain", "event_id", "ts", "ok").groupBy("domain").applyInPandasWithState(step, BREAKER_SCHEMA, state, "append", GroupStateTimeout.NoTimeout)
-
-
-def run_available(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+def run_available(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Run a stream over what its source holds now, and return what it wrote. Output and progress lie in the shared
-    folder, where a restarted query goes on."""
+    folder, where a restarted query goes on.
+
+    Update mode: each batch is written to a folder of its own number, so a repeated batch replaces itself, and of the
+    rows of one key (the columns `keys`) the last batch's counts. State is kept for as long as the watermark asks.
+    """
     spark = stream.sparkSession
-    base = f"{(folder or spark.conf.get('spark.checkpoint.dir', None) or '/tmp/tidemark-streams').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
-    else:
-        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/progress").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/progress").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{base}/out/batch={n}")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    told = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{base}/out")
+    if mode == "complete":
+        return told.join(F.broadcast(told.agg(F.max("batch").alias("batch"))), "batch").select(*stream.columns)
+    row = F.struct(*stream.columns)
+    return told.groupBy(*keys).agg(F.max_by(row, "batch").alias("row")).select("row.*")
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
