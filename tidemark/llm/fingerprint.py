@@ -130,6 +130,12 @@ def edited(text: Column, other: Column) -> Column:
 
 
 def op1_weighted_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of all documents.
+
+    Null text: as an empty one, whose fingerprint has no sample; two of those have likeness 1. Rows of one doc_id follow
+    each other by text, null ids come last; a single document is its own next. Texts of any length count whole. Empty
+    table: no rows. Further columns are not read.
+    """
     chained = with_next(table(spark, sf_dir, "documents")).withColumn("edit", edited(F.col("text"), F.col("next_text")))
     told = chained.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edit", "UTF-8"), 256).alias("edited_sha256"), "found", "next_found", signature(F.col("edit")).alias("edit_found"))
     return told.select(

@@ -191,6 +191,12 @@ def pack_documents(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of all pieces of all documents.
+
+    Null or empty text: the end id alone, one piece of length 1. Longer documents are cut into whole sequences and a
+    rest. Repeated rows and null ids are packed as often as they come. Pieces of equal key follow by doc_id, row and
+    piece; of equally full bins the last one filled takes the piece. Empty table: no rows. Further columns are not read.
+    """
     import public_tokenizers
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -76,6 +76,11 @@ def line_first_quality(docs: DataFrame, min_words: int = 20, max_repeat_pct: int
 
 
 def op10_line_first_quality(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lost_words of all documents.
+
+    Null or empty text: no words, base_failed. Each row is judged alone, so repeated rows and null ids get equal results.
+    Texts of any length count whole; limits that are met exactly pass. Empty table: no rows. Further columns are not read.
+    """
     out = line_first_quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words")
 

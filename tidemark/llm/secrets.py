@@ -102,5 +102,11 @@ def find_secrets(docs: DataFrame, owner: Column, repository: Column, max_owners:
 
 
 def op8_secret_ownership(spark, sf_dir: str) -> DataFrame:
-    """Documents stand for files: the source owns them, and each document is a repository of its own."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared of all documents, which stand for files:
+    the source owns them, and each document is a repository of its own.
+
+    Null or empty text: no span. A null source or doc_id counts as one more owner or repository. Repeated rows are places
+    in one repository and get equal spans. Spans that start together follow by kind as listed. Texts of any length are
+    scanned whole. Empty table: no rows. Further columns are not read.
+    """
     return find_secrets(table(spark, sf_dir, "documents"), F.col("source"), F.col("doc_id"))

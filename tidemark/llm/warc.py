@@ -147,6 +147,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op9_warc_round_trip(spark, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record read back from the archives.
+
+    Null html: an empty payload, which other empty ones refer to. Repeated rows of the response are responses; null
+    page_ids come back as null. Payloads of any size are one record each. Empty table: no rows. Of further columns,
+    url alone is read.
+    """
     path = f"{shared_folder(spark)}/tidemark-warc-{uuid.uuid4().hex}"
     write_archives(plan_revisits(table(spark, sf_dir, "pages")), path)
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
