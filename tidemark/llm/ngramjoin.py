@@ -184,19 +184,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 def _rare_tokens(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Keys (key, d: doc, n, at) for sets in crowded buckets: their rarest tokens, rarest first, as many as it takes for
-    any two that link to share one. In a group of edited copies these are the edits, which tell the copies apart."""
+    any two that link to share one. In a group of edited copies these are the edits, which tell the copies apart.
+
+    Tokens are cut to 32 bits here, which halves what is shuffled: two that become equal can only bring sets together
+    that are then verified in full."""
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tokens = np.frombuffer(raw.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), doc)), pa.array(np.full(len(tokens), len(tokens))), pa.array(tokens)], ["doc", "n", "token"])
+                tokens = np.frombuffer(raw.as_buffer(), np.int64).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), doc)), pa.array(tokens)], ["doc", "token"])
 
-    tokens = staged(sets.select("doc", "shingles").mapInArrow(exploded, "doc long, n long, token long"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
-    rare = tokens.join(often, "token").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t"))
+    tokens = staged(sets.select("doc", "shingles").mapInArrow(exploded, "doc long, token int"))
+    often = tokens.groupBy("token").agg(F.count("*").cast("int").alias("often"))
+    rare = tokens.join(often, "token").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t")).withColumn("n", F.size("t").cast("long"))
     prefix = F.slice("t", F.lit(1), (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int"))
-    return rare.select("doc", "n", F.posexplode(prefix).alias("at", "t")).select(F.col("t.token").alias("key"), F.struct("doc", "n", "at").alias("d"))
+    keys = rare.select("doc", "n", F.posexplode(prefix).alias("at", "t")).select(F.col("t.token").cast("long").alias("key"), F.struct("doc", "n", "at").alias("d"))
+    found = staged(keys)
+    drop(tokens)
+    return found
 
 
 def _can_meet(num: int, den: int):
@@ -237,7 +243,9 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     classes = staged(classes.select("name", F.col("first.row").alias("doc"), F.col("first.doc_id").alias("id_"), F.col("first.h").alias("h_")))
     keys = read.select("row", "n", "keys").join(small(classes.select("doc"), 16), F.col("row") == F.col("doc"), "left_semi")
     can = lambda x, y: F.greatest(f"{x}.n", f"{y}.n") * num <= F.least(f"{x}.n", f"{y}.n") * den
+    read_ = staged(read.drop("keys"))
     two, inside = shared_keys(keys.select(F.explode("keys").alias("key"), F.struct(F.col("row").alias("doc"), "n").alias("d")), can)
+    drop(read)  # the keys, several times the rest
     met = two.select(F.explode(F.array("x.doc", "y.doc")).alias("doc")).union(inside.select("d.doc")).distinct()
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,11 +256,16 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     wanted = staged(classes.join(small(staged(met), 16), "doc", "left_semi"))
     texts = text.join(small(wanted.select("id_", "h_"), 32), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")), "left_semi")
     sets = texts.select("text").mapInArrow(shingled, "name binary, shingles binary").join(small(wanted.select("name", "doc"), 40), "name")
-    sets = staged(sets.select("doc", "shingles").dropDuplicates(["doc"]), compression="none")
+    many = read_.groupBy("doc_id", "h").agg(F.count("*").alias("c")).where("c > 1")
+    sets = sets.select("doc", "shingles")
+    if not many.isEmpty():  # repeated rows give a set twice
+        sets = sets.dropDuplicates(["doc"])
+    sets = staged(sets, compression="none")
 
     def rarest(label: DataFrame) -> DataFrame:
         some = staged(label.select("d.doc", "of").distinct())
-        return _rare_tokens(sets.join(small(some.select("doc"), 8), "doc", "left_semi"), num, den).join(small(some, 24), F.col("d.doc") == F.col("doc")).select("key", "d", "of")
+        keys = _rare_tokens(sets.join(small(some.select("doc"), 8), "doc", "left_semi"), num, den)
+        return keys.join(small(some, 24), F.col("d.doc") == F.col("doc")).select("key", "d", "of")
 
     found = linked_components(two, inside, can, lambda pairs: _verified(pairs, sets, num, den), rarest, _can_meet(num, den))
     of = staged(classes.join(small(found, 16), F.col("doc") == F.col("node")).select("name", "component", "id_"))
@@ -260,7 +273,7 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     of = staged(of.join(small(least, 16), "component").select("name", "component", "least"))
     single = classes.join(small(of.select("name"), 24), "name", "left_anti")
     drop(two, inside, wanted, sets, least)
-    return read.drop("keys"), of.union(single.select("name", F.col("doc").alias("component"), F.col("id_").alias("least")))
+    return read_, of.union(single.select("name", F.col("doc").alias("component"), F.col("id_").alias("least")))
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
