@@ -293,10 +293,10 @@ def f11_fresh_entries(spark, d):
     return R.fresh_entries(view(spark, d, "request_log"), "ts", 7 * 86400, F.lit(AS_OF)).select("event_id")
 
 
-@query("select domain as path, max(ts) as last_activity from request_log where ts < timestamp '2024-01-30 12:00:00' group by 1 having max(ts) < timestamp '2024-01-30 00:00:00'")
+@query("select concat(domain, '/', event_id % 400) as path, max(ts) as last_activity from request_log where ts < timestamp '2024-01-30 12:00:00' group by 1 having max(ts) < timestamp '2024-01-30 00:00:00'")
 def f12_stale_partials(spark, d):
     log = view(spark, d, "request_log").where("ts < timestamp_ntz '2024-01-30 12:00:00'")
-    return X.stale_partials(log.select(F.col("domain").alias("path"), F.col("ts").alias("last_activity")), F.lit(AS_OF))
+    return X.stale_partials(log.select(F.concat("domain", F.lit("/"), (F.col("event_id") % 400).cast("string")).alias("path"), F.col("ts").alias("last_activity")), F.lit(AS_OF))
 
 
 @query("select concat(dir_url, filename) as url, size >= 10485760 as splittable from remote_files")
