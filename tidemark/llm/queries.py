@@ -8,6 +8,7 @@ from .linedup import op3_fuzzy_line_dedup
 from .mixing import OP7_SQL, op7_pareto_mix
 from .ngramjoin import op4_ngram_jaccard_join
 from .packing import op5_best_fit_packing
+from .phrases import OP11_SQL, op11_de_bruijn_phrases
 from .quality import OP10_SQL, op10_line_first_quality
 from .secrets import op8_secret_ownership
 from .toxicity import op6_factorization_toxicity
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_secret_ownership": op8_secret_ownership,
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_line_first_quality": op10_line_first_quality,
+    "op11_de_bruijn_phrases": op11_de_bruijn_phrases,
 }
 
 ORACLES = {
     "op7_pareto_mix": OP7_SQL,
     "op9_warc_round_trip": OP9_SQL,
     "op10_line_first_quality": OP10_SQL,
+    "op11_de_bruijn_phrases": OP11_SQL,
 }
