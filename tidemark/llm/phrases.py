@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from .common import drop, staged, table
 
-#: Pairs of words are counted in so many hashed places (as a power of two) before any gram is; a bit each is broadcast.
+#: Grams are counted in so many hashed places (as a power of two) before any is spelt out; a bit each is broadcast.
 PLACE_BITS = 27
+PAGE = 1 << 15
 #: A task aggregates so many words at a time.
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 1_000_000
 TOP = 2000
 
 # A piece ends at these characters; words are parted by blank and tab.
@@ -61,76 +62,125 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, _Chunk]]:
     yield from held.items()
 
 
-def _places(lang: str, chunk: _Chunk, ids: np.ndarray, bits: int) -> np.ndarray:
-    """The hashed place of each pair of neighbours (also of those that hold an end)."""
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, chunk.number), np.uint64, len(chunk.number))
-    x = (h ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode())))[ids[:-1]] * np.uint64(0x9E3779B97F4A7C15) + h[ids[1:]]
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (x >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def frequent_places(docs: DataFrame, least: int, bits: int = PLACE_BITS) -> np.ndarray:
-    """A bit for each place in which pairs of neighbouring words occur `least` times or more together.
-
-    Every pair that occurs so often has its bit set. The bits take 2^bits / 8 bytes whatever the input is; the fuller they
-    get, the fewer pairs they rule out, and no result depends on them. They alone reach the driver.
+def _levels(lang: str, chunk: _Chunk, longest: int, told: np.ndarray | None, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """k, ids, places, alive for grams of 1, 2, ... `longest` words: the hashed place of the gram that starts at each word,
+    and whether it lies in one piece and all its shorter grams are in places told of."""
+    ids = chunk.ids()
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, chunk.number), np.uint64, len(chunk.number))[ids]
+    x = h ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
+    ok = ids > 0
+    for k in range(1, longest + 1):
+        if k > 1:
+            x = (x[:-1] ^ (x[:-1] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[k - 1 :]
+            ok = ok[:-1] & ok[1:]
+        y = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        place = ((y ^ (y >> np.uint64(32))) & np.uint64((1 << bits) - 1)).astype(np.int64)
+        yield k, ids, place, ok
+        if told is not None:
+            ok = ok & ((told[place >> 3] >> (place & 7)) & 1 > 0)
+
+
+def frequent_places(docs: DataFrame, longest: int, least: int, bits: int = PLACE_BITS) -> np.ndarray:
+    """A bit for each place in which grams of 1 to `longest` words occur `least` times or more together.
+
+    Every gram that occurs so often has its bit set. Words and pairs are counted in a first pass, each longer size in a
+    further one, by then only where all shorter grams are in told places. A task sends a page of places as two byte strings;
+    pages are added up as they come. The bits take 2^bits / 8 bytes whatever the input is, and they alone reach the driver;
+    the fuller they get, the fewer grams they rule out, and no result depends on them.
     """
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, chunk in _chunks(batches):
-            ids = chunk.ids()
-            at, n = np.unique(_places(lang, chunk, ids, bits)[(ids[:-1] > 0) & (ids[1:] > 0)], return_counts=True)
-            for i in range(0, len(at), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000], pa.int32()), pa.array(n[i : i + 100_000], pa.int32())], ["at", "n"])
-
-    many = docs.mapInArrow(counted, "at int, n int").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    page = F.floor(F.col("at") / 32768).alias("page")
-    found = np.zeros((max(1, (1 << bits) >> 15), 4096), np.uint8)
-    for row in many.groupBy(page).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(32768))).alias("b")).collect():  # at most 2^bits / 8 bytes
-        found[row.page] = np.frombuffer(row.b, np.uint8)
-    return found.reshape(-1)
+    context = docs.sparkSession.sparkContext
+    told = np.zeros(max(PAGE, 1 << bits) // 8, np.uint8)
+    for sizes in ([1, 2][:longest], *[[k] for k in range(3, longest + 1)]):
+        shared = context.broadcast(told) if sizes[0] > 1 else None
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n = [], 0
+            for lang, chunk in _chunks(batches):
+                for k, _, place, alive in _levels(lang, chunk, sizes[-1], shared.value if shared else None, bits):
+                    if k in sizes:
+                        held.append(place[alive])
+                        n += len(held[-1])
+                if n >= 4 * CHUNK_WORDS:
+                    yield _paged(held)
+                    held, n = [], 0
+            if n:
+                yield _paged(held)
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            count: dict[int, np.ndarray] = {}
+            kind = np.uint8 if least < 256 else np.int64
+            for batch in batches:
+                for page, at, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                    c = count.setdefault(page, np.zeros(PAGE, kind))
+                    at = np.frombuffer(at.as_py(), np.uint16)
+                    c[at] = np.minimum(c[at].astype(np.int64) + np.frombuffer(n.as_py(), np.uint8), least)
+            found = [np.packbits(c >= least, bitorder="little").tobytes() for c in count.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.int32()), pa.array(found, pa.binary())], ["page", "b"])
+
+        pages = docs.mapInArrow(counted, "page int, at binary, n binary").repartition("page").mapInArrow(added, "page int, b binary")
+        told = told.copy()
+        for row in pages.collect():  # a bit for each place
+            told[row.page * PAGE // 8 : (row.page + 1) * PAGE // 8] |= np.frombuffer(row.b, np.uint8)
+    return told
+
+
+def _paged(places: list[np.ndarray]) -> pa.RecordBatch:
+    """Counts by page: places within the page (16 bits each), and how often each occurs (8 bits, 255 at most: more than
+    that is found in several parts)."""
+    at, n = np.unique(np.concatenate(places), return_counts=True)
+    more = np.flatnonzero(n > 255)
+    at, n = np.concatenate((at, *[np.repeat(at[i], -(-int(n[i]) // 255) - 1) for i in more])), np.concatenate((np.minimum(n, 255), *[np.full(-(-int(n[i]) // 255) - 1, 255) for i in more]))
+    page = at // PAGE
+    order = np.argsort(page, kind="stable")
+    page, at, n = page[order], (at[order] % PAGE).astype(np.uint16), n[order].astype(np.uint8)
+    ends = np.flatnonzero(np.append(page[1:] != page[:-1], True)) + 1
+    parts = list(zip(np.append(0, ends[:-1]), ends))
+    return pa.RecordBatch.from_arrays([pa.array(page[ends - 1], pa.int32()), pa.array([at[i:j].tobytes() for i, j in parts], pa.binary()), pa.array([n[i:j].tobytes() for i, j in parts], pa.binary())], ["page", "at", "n"])
 
 
 def graph(docs: DataFrame, longest: int, least: int, bits: int = PLACE_BITS) -> DataFrame:
     """lang, k, gram, n: the weighted edges of the de Bruijn graph and the ends of the walks through it.
 
     A piece of text is a walk over nodes of longest - 1 words, and each of its `longest`-grams an edge (k = longest) between
-    two nodes that overlap. The last k words of a piece, for each k below that, are its end of k words. The row of k = 0
-    counts a language's words. Walks are cut between two words that together occur less than `least` times
-    (`frequent_places`): no gram that occurs `least` times spans such a cut, and every word stays in one walk, so the counts
-    of those grams stay exact. Grams are summed up in a task before the shuffle; a gram that a third of all documents share
-    costs each task a few rows.
+    two nodes that overlap. Where a gram of k words is not part of a longer one, as at the end of a piece, a row of k counts
+    its end. The row of k = 0 counts a language's words. Walks also end before a gram whose place is not frequent
+    (`frequent_places`): what occurs `least` times is never in such a place, so its count, what flows on plus what ends,
+    stays exact. Grams are summed up in a task before the shuffle; a gram that a third of all documents share costs each
+    task a few rows.
     """
-    told = docs.sparkSession.sparkContext.broadcast(frequent_places(docs, least, bits))
+    told = docs.sparkSession.sparkContext.broadcast(frequent_places(docs, longest, least, bits))
+    names = ["lang", "k", "gram", "n"]
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, chunk in _chunks(batches):
-            ids = chunk.ids()
-            at = _places(lang, chunk, ids, bits)
-            joined = (ids[:-1] > 0) & (ids[1:] > 0) & ((told.value[at >> 3] >> (at & 7)) & 1 > 0)
             words = pa.array(list(chunk.number), pa.binary())
-            size = np.int64(len(chunk.number))
-            told_rows = [(0, pa.array([""]), pa.array([int((ids > 0).sum())], pa.int64()))]
-            code, alive, start = ids, ids > 0, np.arange(len(ids))
-            for k in range(1, longest + 1):
-                if k > 1:  # alive: where a gram of k words starts; code: its number
-                    alive = alive[:-1] & joined[k - 2 :]
-                    code = (code[:-1] * size + ids[k - 1 :])[alive]
-                    code_of = np.unique(code, return_inverse=True)[1]
-                    code = np.zeros(len(alive), np.int64)
-                    code[alive] = code_of
-                last = np.ones(len(alive), bool)
-                if k < longest:  # ends: no further word is joined
-                    last[: len(joined) - k + 1] = ~joined[k - 1 :]
-                here = start[: len(alive)][alive & last]
+            size, code, before = np.int64(len(words)), None, None
+            rows = []
+
+            def add(k: int, ids: np.ndarray, code: np.ndarray, here: np.ndarray) -> None:
+                here = np.flatnonzero(here)
                 _, first, n = np.unique(code[here], return_index=True, return_counts=True)
                 parts = [pc.take(words, pa.array(ids[here[first] + j])) for j in range(k)]
                 text = parts[0] if k == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary()))
-                told_rows.append((k, text.cast(pa.string()), pa.array(n, pa.int64())))
-            for k, text, n in told_rows:
+                rows.append((k, text.cast(pa.string()), pa.array(n, pa.int64())))
+
+            for k, ids, place, alive in _levels(lang, chunk, longest, told.value, bits):
+                ok = alive & ((told.value[place >> 3] >> (place & 7)) & 1 > 0)
+                if k == 1:
+                    rows.append((0, pa.array([""]), pa.array([int((ids > 0).sum())], pa.int64())))
+                    code_now = ids
+                else:
+                    ends = before.copy()
+                    ends[: len(ok)] &= ~ok
+                    add(k - 1, ids, code, ends)
+                    code_now = np.zeros(len(ok), np.int64)
+                    code_now[ok] = np.unique((code[:-1] * size + ids[k - 1 :])[ok], return_inverse=True)[1]
+                code, before = code_now, ok
+            add(longest, ids, code, before)
+            for k, text, n in rows:
                 for i in range(0, len(text), 50_000):
                     m = len(text[i : i + 50_000])
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * m, pa.string()), pa.array([k] * m, pa.int32()), text[i : i + 50_000], n[i : i + 50_000]], ["lang", "k", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * m, pa.string()), pa.array([k] * m, pa.int32()), text[i : i + 50_000], n[i : i + 50_000]], names)
 
     return docs.mapInArrow(grams, "lang string, k int, gram string, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
 
@@ -208,7 +258,11 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, share_pct:
     which each task cuts before the shuffle.
     """
     text = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = staged(graph(text, longest, least, bits))
+    return ranked_phrases(staged(graph(text, longest, least, bits)), longest, least, share_pct, top)
+
+
+def ranked_phrases(rows: DataFrame, longest: int, least: int, share_pct: int, top: int) -> DataFrame:
+    """The phrases of a (staged) graph, which is deleted."""
     paths = compact(rows, longest)
     counts = gram_counts(rows, paths, longest, least)
     wanted = counts.where("k > 1").select("lang", "k", F.col("gram").alias("phrase"), F.col("n").alias("a"))
