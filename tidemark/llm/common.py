@@ -56,6 +56,13 @@ def drop(*frames: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs, dealt out anew if they come in fewer partitions than there are cores: one small file would keep one core busy.
+    Larger inputs have more partitions than that and are left where they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def packed(docs: DataFrame, *plain: Column) -> DataFrame:
     """`doc`, the whole row as one struct, and the columns `plain`: no other column of docs can clash with a join's."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *plain)

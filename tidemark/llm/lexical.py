@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, staged, table
+from .common import drop, spread, staged, table
 
 #: Items are searched in sets of about so many bytes of text, each over all documents.
 ITEM_BYTES = 256 << 10
@@ -145,7 +145,7 @@ def forward(docs: DataFrame, items: Items) -> DataFrame:
                 tf.append(count)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(term, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.int64()))], ["doc_id", "n", "term", "tf"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n long, term array<int>, tf array<long>")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(rows, "doc_id long, n long, term array<int>, tf array<long>")
 
 
 def statistics(postings: DataFrame, n_terms: int) -> tuple[int, int, np.ndarray]:

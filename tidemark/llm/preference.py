@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, staged, table
+from .common import small, spread, staged, table
 from .langid import held_out
 
 #: The ranker is fitted on at most about so many labelled documents of either label.
@@ -93,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = SAMPLE_PER_L
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id_")).agg(F.max("quality").cast("int").alias("good"))
     known = staged(known)
     texts = docs.where("text IS NOT NULL").join(small(known, 16), F.col("doc_id") == F.col("id_")).select("id_", "good", "text")
-    seen = staged(_measured(texts, "id_", "good"))
+    seen = staged(_measured(spread(texts), "id_", "good"))
     n = {r.good: r["count"] for r in seen.groupBy("good").count().collect()}  # two rows at most
     if len(n) < 2:
         return {"cuts": np.zeros((len(MEASURES), 1)), "w": np.zeros(len(MEASURES)), "threshold": 0.0 if 1 in n or not n else 1.0}
@@ -136,7 +136,7 @@ def score_quality(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], [*keep, "score"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("text_")).mapInArrow(rows, f"{schema}, score double")
+    return spread(docs.select(*keep, F.col("text").alias("text_"))).mapInArrow(rows, f"{schema}, score double")
 
 
 def op13_bradley_terry_quality(spark, sf_dir: str) -> DataFrame:
