@@ -58,7 +58,7 @@ def drop(*frames: DataFrame) -> None:
 
 def spread(docs: DataFrame) -> DataFrame:
     """docs, dealt out anew if they come in fewer partitions than there are cores: one small file would keep one core busy.
-    Larger inputs have more partitions than that and are left where they are."""
+    Larger inputs have more partitions than that and are left where they are. For scans; asking runs what lies before them."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
     return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
 

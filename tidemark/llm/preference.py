@@ -92,8 +92,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = SAMPLE_PER_L
     """
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id_")).agg(F.max("quality").cast("int").alias("good"))
     known = staged(known)
-    texts = docs.where("text IS NOT NULL").join(small(known, 16), F.col("doc_id") == F.col("id_")).select("id_", "good", "text")
-    seen = staged(_measured(spread(texts), "id_", "good"))
+    texts = spread(docs.select("doc_id", "text").where("text IS NOT NULL")).join(small(known, 16), F.col("doc_id") == F.col("id_")).select("id_", "good", "text")
+    seen = staged(_measured(texts, "id_", "good"))
     n = {r.good: r["count"] for r in seen.groupBy("good").count().collect()}  # two rows at most
     if len(n) < 2:
         return {"cuts": np.zeros((len(MEASURES), 1)), "w": np.zeros(len(MEASURES)), "threshold": 0.0 if 1 in n or not n else 1.0}
