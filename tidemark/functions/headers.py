@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,6 +71,45 @@ def listing_signature(children: Column) -> Column:
     return F.md5(F.array_join(F.array_sort(children), "\n"))
 
 
+def listing_signatures(rows: DataFrame, folder: str, child: str) -> DataFrame:
+    """folder, signature: MD5 over each folder's children, sorted by their bytes and joined by line ends; as
+    `listing_signature` gives it for an array, but streamed.
+
+    Rows are sorted by (folder, child) within partitions by folder, so a hash is fed row after row and a folder with a
+    third of all children takes the memory of one batch. Hashing a sequence is one task's work a folder. Duplicates count
+    as often as they come; null children are left out; a null folder is a folder.
+    """
+    kind = rows.schema[folder].dataType.simpleString()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, running, names, out = object(), None, [], []
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(names, at), pa.array(out, pa.string())], [folder, "signature"])
+
+        at = None
+        for batch in batches:
+            at = batch.schema.field(0).type
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                if running is None or name != now:
+                    if running is not None:
+                        names.append(now)
+                        out.append(running.hexdigest())
+                    now, running = name, hashlib.md5(text, usedforsecurity=False)
+                else:
+                    running.update(b"\n" + text)
+            if len(names) > 10_000:
+                yield told()
+                names, out = [], []
+        if running is not None:
+            names.append(now)
+            out.append(running.hexdigest())
+            yield told()
+
+    dealt = rows.select(folder, F.col(child).cast("string").alias("_child")).where("_child IS NOT NULL").repartition(folder).sortWithinPartitions(folder, "_child")
+    return dealt.mapInArrow(hashed, f"`{folder}` {kind}, signature string")
+
+
 def dir_signature(url: Column, content: Column, etag: Column, modified: Column) -> Column:
     """By preference content, ETag, Last-Modified; else the url: form, which is never trusted."""
     tag = lambda name, c: F.when(c != "", F.concat(F.lit(f"{name}:"), c))

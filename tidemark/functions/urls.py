@@ -192,12 +192,13 @@ def local_key(url: Column, root: Column, max_depth: int = 50, max_filename_len:
     return F.when(ok, F.array_join(F.transform(parts, lambda s: safe_filename(s, max_filename_len)), "/"))
 
 
-def target_root(base: Column, suffix: Column) -> Column:
-    """Base and suffix with one slash between; null for a suffix that climbs or is absolute."""
-    bad = suffix.contains("..") | suffix.startswith("/")
+def target_root(base: Column, suffix: Column, max_filename_len: int = 255) -> Column:
+    """Base and suffix with one slash between, each segment of the suffix made a safe filename; null for a suffix that
+    climbs, is absolute or has an empty segment inside. Without a suffix, the base."""
     end = F.trim(suffix, F.lit("/"))
-    joined = F.concat(F.rtrim(base, F.lit("/")), F.lit("/"), end, F.when(end == "", F.lit("")).otherwise(F.lit("/")))
-    return F.when(~bad, joined)
+    top = F.concat(F.rtrim(base, F.lit("/")), F.lit("/"))
+    parts = F.transform(F.split(end, "/"), lambda s: safe_filename(s, max_filename_len))
+    return F.when(F.coalesce(end, F.lit("")) == "", top).when(~suffix.startswith("/") & ~end.contains("..") & ~end.contains("//"), F.concat(top, F.array_join(parts, "/"), F.lit("/")))
 
 
 def url_security_verdict(url: Column, base: Column) -> Column:

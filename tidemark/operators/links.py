@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..functions.anchors import all_anchors
+from .patterns import java_pattern, match_patterns  # noqa: F401
 
 BIG_PAGE = 1 << 20
 _SKIPPED = "^(#|javascript:|mailto:)"
@@ -21,16 +23,8 @@ def hrefs(html: Column) -> Column:
 
 
 def anchor_hrefs(html: Column) -> Column:
-    """The href of <a> elements only, with the common entities decoded."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*?\shref\s*=\s*(\"[^\"]*\"|'[^']*')"), F.lit(1))
-
-    def plain(h: Column) -> Column:
-        out = F.substr(h, F.lit(2), F.length(h) - 2)
-        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-            out = F.replace(out, F.lit(entity), F.lit(char))
-        return out
-
-    return F.filter(F.transform(tags, plain), lambda h: (h != "") & ~h.rlike(_SKIPPED))
+    """The href of <a> elements only, as a document tree gives them: decoded, without those in comments and scripts."""
+    return F.filter(all_anchors(html), lambda h: (h != "") & ~h.rlike(_SKIPPED))
 
 
 def extract_links(pages: DataFrame, mode: str = "fast") -> DataFrame:
@@ -70,12 +64,6 @@ def degrees(pages: DataFrame) -> DataFrame:
     return ends.groupBy("url").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
-def java_pattern(pattern: str) -> str:
-    """A user's Python regex for Java: named groups, Unicode classes and case. Invalid ones fail here, before any plan."""
-    re.compile(pattern)
-    return "(?iU)" + pattern.replace("(?P<", "(?<")
-
-
 def file_filter(name: Column, patterns: list[str]) -> Column:
     """Whether a filename matches any pattern: .suffix, regex, or substring, all without regard to case. No pattern: all."""
 
@@ -109,16 +97,6 @@ def exclude_dirs(dirs: DataFrame, patterns: list[str], url: str = "dir_url") ->
     return dirs.where(~excluded_dir(F.col(url), patterns))
 
 
-def match_patterns(files: DataFrame, patterns: DataFrame, name: Column) -> DataFrame:
-    """files whose name holds any row of patterns (kind: suffix, substring or regex; pattern): a broadcast theta join.
-    `patterns` is a list that people write; its size is checked."""
-    if patterns.count() > 10_000:
-        raise ValueError("the pattern table is too large for a theta join")
-    low = F.lower(name)
-    hit = F.when(F.col("kind") == "suffix", low.endswith(F.lower("pattern"))).when(F.col("kind") == "substring", low.contains(F.lower("pattern"))).otherwise(F.rlike(name, F.concat(F.lit("(?iU)"), F.col("pattern"))))
-    return files.join(F.broadcast(patterns), hit, "left_semi")
-
-
 def throttled_name(domain: Column, known: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.lower(domain).contains(k) for k in known], F.lit(False))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.headers import backoff_seconds, retry_after_seconds
+from .scan import moving_average, prefix_scan, running_sum
 
 THROTTLE_DAYS, THROTTLE_COUNT = 14, 5
 SLOW_RTT_MS, MANY_ERRORS = 1000.0, 0.05
@@ -36,6 +37,15 @@ def run_summary(log: DataFrame) -> DataFrame:
     )
 
 
+def run_report(log: DataFrame, parses: DataFrame, lookups: DataFrame) -> DataFrame:
+    """`run_summary` in one row with pages_parsed, parse_mb and parse_mb_per_s, from parses (bytes, ms), and lookups, hits
+    and hit_pct over all caches, from lookups (cache, hit). Without rows: zeros."""
+    zero = lambda c, like=0.0: F.coalesce(c, F.lit(like))
+    parsed = parses.agg(F.count("*").alias("pages_parsed"), zero(F.sum("bytes") / 1e6).alias("parse_mb"), zero(F.try_divide(F.sum("bytes") / 1e6, F.sum("ms") / 1e3)).alias("parse_mb_per_s"))
+    asked = lookups.agg(F.count("*").alias("lookups"), F.count_if("hit").alias("hits"), zero(F.try_divide(F.count_if("hit") * 100.0, F.count("*"))).alias("hit_pct"))
+    return run_summary(log).crossJoin(parsed).crossJoin(asked)  # one row each
+
+
 def latency_stats(log: DataFrame, last_n: int = 1000) -> DataFrame:
     """operation, avg_ms, p95_ms, max_ms, min_ms, count of the newest rows; success and failure over all rows.
     p95 is the value of 1-based rank floor(0.95 n) + 1."""
@@ -48,6 +58,18 @@ def latency_stats(log: DataFrame, last_n: int = 1000) -> DataFrame:
     return stats.join(totals, "operation")
 
 
+def latency_totals(stats: DataFrame) -> DataFrame:
+    """One row over the operations of `latency_stats`: operations, calls (of the kept rows), success, failure, success_pct,
+    mean_ms (weighted by calls), slowest operation by its p95 (the first by name of equal ones). Without operations: zeros."""
+    done = F.coalesce(F.sum("success"), F.lit(0))
+    lost = F.coalesce(F.sum("failure"), F.lit(0))
+    return stats.agg(
+        F.count("*").alias("operations"), F.coalesce(F.sum("n"), F.lit(0)).alias("calls"), done.alias("success"), lost.alias("failure"),
+        F.coalesce(F.try_divide(done * 100.0, done + lost), F.lit(0.0)).alias("success_pct"), F.coalesce(F.try_divide(F.sum(F.col("avg_ms") * F.col("n")), F.sum("n")), F.lit(0.0)).alias("mean_ms"),
+        F.min(F.struct(-F.col("p95_ms"), F.col("operation")))["operation"].alias("slowest"),
+    )
+
+
 def domain_stats(log: DataFrame, last_n: int = 50, ok_rule: str = "status") -> DataFrame:
     """domain, n, error_rate, avg_rtt_ms, files_per_s, throttled_now, ever_throttled over the newest rows of a domain.
     ok_rule `status`: below 400; `any_response`: any status. ever_throttled looks at all prefixes of those rows."""
@@ -104,8 +126,16 @@ def distinct_urls(df: DataFrame, url: str = "url") -> DataFrame:
 
 
 def suffix_summary(results: DataFrame) -> DataFrame:
-    """status, n, suffixes of a run over several roots."""
-    return results.groupBy("status").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("suffix")), ",").alias("suffixes"))
+    """status, n, n_suffixes, first_suffix, last_suffix of a run over several roots (suffix, status). A status may hold any
+    number of roots, so they are counted; `suffixes_of` lists them as rows."""
+    per = results.groupBy("status", "suffix").agg(F.count("*").alias("n"))
+    return per.groupBy("status").agg(F.sum("n").alias("n"), F.count("*").alias("n_suffixes"), F.min("suffix").alias("first_suffix"), F.max("suffix").alias("last_suffix"))
+
+
+def suffixes_of(results: DataFrame, most: int = 20) -> DataFrame:
+    """status, suffix, rank: the first `most` roots of each status by name, a top-k window."""
+    names = results.select("status", "suffix").distinct()
+    return names.withColumn("rank", F.row_number().over(Window.partitionBy("status").orderBy("suffix"))).where(F.col("rank") <= most)
 
 
 def symlink_stats(links: DataFrame) -> DataFrame:
@@ -122,14 +152,13 @@ def rolling_speed(batches: DataFrame, threshold: float = 25.0, width: int = 5) -
     return batches.withColumn("mean_speed", F.avg("speed").over(over)).withColumn("slow", F.col("mean_speed") < 0.6 * threshold)
 
 
-def bandwidth_curve(log: DataFrame) -> DataFrame:
-    """domain, sec, bytes, peak, ewma: bytes a second with any traffic, the peak so far, and 0.9 avg + 0.1 cur from 0."""
+def bandwidth_curve(log: DataFrame, chunks: int | None = None) -> DataFrame:
+    """domain, sec, bytes, peak, ewma: bytes a second with any traffic, the peak so far, and 0.9 avg + 0.1 cur from 0, over
+    all seconds of a domain. Both are prefix scans, so a domain with most of the traffic runs in many tasks."""
     per = log.groupBy("domain", F.date_trunc("second", "ts").alias("sec")).agg(F.sum("bytes").alias("bytes"))
-    order = Window.partitionBy("domain").orderBy("sec").rowsBetween(Window.unboundedPreceding, 0)
-    # ewma_i = 0.1 sum_j 0.9^(i-j) b_j: scaled by 0.9^-i that would overflow, so each value folds its last 400 seconds,
-    # beyond which a weight is below 1e-18 of the first.
-    recent = F.collect_list("bytes").over(Window.partitionBy("domain").orderBy("sec").rowsBetween(-399, 0))
-    return per.select("domain", "sec", "bytes", F.max("bytes").over(order).alias("peak"), F.aggregate(recent, F.lit(0.0), lambda a, b: a * 0.9 + b * 0.1).alias("ewma"))
+    told = moving_average(per, ["domain"], ["sec"], "bytes", "ewma", chunks=chunks)
+    told = prefix_scan(told, ["domain"], ["sec"], lambda df, w: df.withColumn("_p", F.max("bytes").over(w)), [F.max("bytes").alias("_t")], lambda df, w: df.withColumn("_p0", F.max("_t").over(w)), chunks)
+    return told.select("domain", "sec", "bytes", F.greatest("_p", "_p0").alias("peak"), "ewma")
 
 
 def throughput_change(samples: DataFrame) -> DataFrame:
@@ -139,11 +168,15 @@ def throughput_change(samples: DataFrame) -> DataFrame:
     return told.withColumn("trend", F.when(F.col("change") > 0.05, "up").when(F.col("change") < -0.05, "down").when(F.col("change").isNotNull(), "flat"))
 
 
-def progress_curve(log: DataFrame) -> DataFrame:
-    """job, ts, event_id, done, pct, rate, eta_s from rows (job, ts, event_id, total)."""
-    by = Window.partitionBy("job").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    spent = (F.unix_micros(F.col("ts").cast("timestamp")) - F.min(F.unix_micros(F.col("ts").cast("timestamp"))).over(by)) / 1e6
-    told = log.withColumn("done", F.count("*").over(by)).withColumn("spent", spent).withColumn("pct", F.col("done") * 100.0 / F.col("total"))
+def progress_curve(log: DataFrame, chunks: int | None = None) -> DataFrame:
+    """job, ts, event_id, done, pct, rate, eta_s from rows (job, ts, event_id, total). Counts and first times are a prefix
+    scan, so one job may hold most rows."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    told = prefix_scan(
+        log, ["job"], ["ts", "event_id"], lambda df, w: df.withColumn("_at", at).withColumn("_n", F.count("*").over(w)).withColumn("_f", F.min("_at").over(w)),
+        [F.count("*").alias("_t"), F.min("_at").alias("_ft")], lambda df, w: df.withColumn("_n0", F.sum("_t").over(w)).withColumn("_f0", F.min("_ft").over(w)), chunks,
+    )
+    told = told.withColumn("done", F.col("_n") + F.coalesce("_n0", F.lit(0))).withColumn("spent", (F.col("_at") - F.least("_f", "_f0")) / 1e6).withColumn("pct", F.col("done") * 100.0 / F.col("total"))
     told = told.withColumn("rate", F.when(F.col("spent") > 0, F.col("done") / F.col("spent")).otherwise(0.0))
     return told.withColumn("eta_s", F.when(F.col("rate") > 0, (F.col("total") - F.col("done")) / F.col("rate"))).select("job", "ts", "event_id", "done", "pct", "rate", "eta_s")
 
@@ -153,15 +186,22 @@ def milestones(curve: DataFrame, marks: tuple[int, ...] = MILESTONES) -> DataFra
     return curve.groupBy("job").agg(*[F.min(F.when(F.col("pct") >= m, F.col("ts"))).alias(f"at_{m}") for m in marks])
 
 
-def active_curve(log: DataFrame, cap: int = 20) -> DataFrame:
-    """domain, peak, over_cap: most transfers at once (ends count before starts), and starts beyond the cap."""
+def active_curve(log: DataFrame, cap: int = 20, chunks: int | None = None) -> DataFrame:
+    """domain, peak, over_cap: most transfers at once (ends count before starts), and starts beyond the cap. The running
+    count is a prefix scan: a busy host runs in many tasks."""
     start = F.unix_micros(F.col("ts").cast("timestamp"))
     events = log.select("domain", start.alias("at"), F.lit(1).alias("d"), "event_id").union(log.select("domain", start + (F.col("rtt_ms") * 1000).cast("long"), F.lit(-1), "event_id"))
-    run = F.sum("d").over(Window.partitionBy("domain").orderBy("at", "d", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    told = events.withColumn("active", run)
+    told = running_sum(events, ["domain"], ["at", "d", "event_id"], F.col("d"), "active", chunks)
     return told.groupBy("domain").agg(F.max("active").alias("peak"), F.count_if((F.col("d") == 1) & (F.col("active") > cap)).alias("over_cap"))
 
 
+def failure_runs(log: DataFrame, chunks: int | None = None) -> DataFrame:
+    """domain, start_ts, end_ts, failures: the longest stretches of failed results (domain, event_id, ts, ok) of each
+    domain without a success between, by event time. A stretch is known by the successes before it, a running sum."""
+    told = running_sum(log, ["domain"], ["ts", "event_id"], F.col("ok").cast("int"), "run", chunks).where("NOT ok")
+    return told.groupBy("domain", "run").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("failures")).drop("run")
+
+
 def classify_responses(log: DataFrame, max_retries: int = 3, as_of: Column | None = None) -> DataFrame:
     """Adds class, is_incident and wait_s. log: status, attempt and retry_after."""
     s, left = F.col("status"), F.col("attempt") < max_retries

@@ -113,10 +113,13 @@ def move_plan(obsolete: DataFrame, existing: DataFrame, as_of_ms: int) -> DataFr
     return joined.select("path", F.when(F.col("taken").isNotNull(), F.concat(folder, stem, F.lit(f"_{as_of_ms}"), ext)).otherwise(F.col("target")).alias("target"))
 
 
-def latest_metadata(meta: DataFrame, key: str = "key", limit: int = 100_000) -> DataFrame:
-    """The newest row of each key, and of those the newest `limit` (the cache's size)."""
-    order = Window.partitionBy(key).orderBy(F.desc("updated"))
-    return meta.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn").orderBy(F.desc("updated"), key).limit(limit)
+def latest_metadata(meta: DataFrame, key: str = "key", limit: int = 100_000, tie: str | None = None) -> DataFrame:
+    """The newest row of each key, and of those the newest `limit` (the cache's size). Of rows of one time the largest by
+    `tie`, or else by all their columns, so reruns agree; keys of one time by name."""
+    row = F.struct(*[c for c in meta.columns if c != key])
+    by = F.struct("updated", *([tie] if tie else []), row)
+    newest = meta.groupBy(key).agg(F.max_by(row, by).alias("row")).select(key, "row.*")
+    return newest.orderBy(F.desc("updated"), key).limit(limit)
 
 
 def with_sizes(downloads: DataFrame, remote: DataFrame) -> DataFrame:

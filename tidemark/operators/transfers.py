@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import count_since, floored_sum, running_sum
+
 MIB = 1 << 20
 MIN_CHUNK, MAX_CHUNKS = 10 * MIB, 8
 
@@ -51,15 +53,11 @@ def verify_chunks(ledger: DataFrame) -> DataFrame:
     return agg.withColumn("whole", (F.col("n_failed") == 0) & (F.col("n_gaps") == 0) & (F.col("size") == F.col("last") + 1)).drop("last")
 
 
-def chunk_failures(results: DataFrame, file_limit: int = 3, server_limit: int = 6) -> DataFrame:
+def chunk_failures(results: DataFrame, file_limit: int = 3, server_limit: int = 6, chunks: int | None = None) -> DataFrame:
     """Each result (url, server, seq, ok) with its counters after it: a file's failures since its last success, and a
-    server's failures less successes, never below 0 (a running sum less its least prefix)."""
-    file = Window.partitionBy("url").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    server = Window.partitionBy("server").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    fails = F.count_if(~F.col("ok")).over(file)
-    told = results.withColumn("fails", fails).withColumn("s", F.sum(F.when(F.col("ok"), -1).otherwise(1)).over(server))
-    told = told.withColumn("file_failures", F.col("fails") - F.coalesce(F.max(F.when(F.col("ok"), F.col("fails"))).over(file), F.lit(0)))
-    told = told.withColumn("server_failures", F.col("s") - F.least(F.lit(0), F.min("s").over(server)))
+    server's failures less successes, never below 0. Both are prefix scans: one server may hold most results."""
+    told = count_since(results, ["url"], ["seq"], ~F.col("ok"), F.col("ok"), "file_failures", chunks)
+    told = floored_sum(told, ["server"], ["seq"], F.when(F.col("ok"), -1).otherwise(1), "server_failures", chunks)
     return told.select("url", "server", "seq", "file_failures", "server_failures", (F.col("file_failures") >= file_limit).alias("file_failed"), (F.col("server_failures") >= server_limit).alias("server_open"))
 
 
@@ -69,30 +67,20 @@ def work_list(tasks: DataFrame, max_size: int = 10_000) -> DataFrame:
     return first.orderBy("priority", "created_at", "url", "path").limit(max_size)
 
 
+def work_batches(tasks: DataFrame, size: int, max_size: int = 10_000, chunks: int | None = None) -> DataFrame:
+    """The work list with `batch`: the first `size` tasks are batch 0, the next ones batch 1, and so on. Places are a prefix
+    scan over the order of the list, so a list of any length is numbered in many tasks."""
+    listed = work_list(tasks, max_size).withColumn("_all", F.lit(0))
+    placed = running_sum(listed, ["_all"], ["priority", "created_at", "url", "path"], F.lit(1), "place", chunks)
+    return placed.withColumn("place", F.col("place") - 1).withColumn("batch", F.floor((F.col("place")) / size)).drop("_all")
+
+
 def preview(files: DataFrame, order: str = "url", n: int = 10) -> DataFrame:
     """The first n, and how many more there are."""
     more = files.agg(F.greatest(F.count("*") - n, F.lit(0)).alias("n_more"))
     return files.orderBy(order).limit(n).crossJoin(F.broadcast(more))
 
 
-def crawl_schedule(requests: DataFrame, key: str, gap_s: Column | float, scale_by: str | None = None) -> DataFrame:
-    """Adds slot_s, delay_s and delayed: the earliest time of each request with a gap after the one before it.
-
-    slot_i = S_i + max over j <= i of (ts_j - S_j), with S the running sum of gaps: two windows, no loop. `scale_by`
-    names a column of active transfers: the gap grows by a tenth for each beyond the first, to 1.5 times at most.
-    """
-    gap = gap_s if isinstance(gap_s, Column) else F.lit(float(gap_s))
-    if scale_by:
-        gap = gap * F.least(F.lit(1.5), 1 + 0.1 * F.greatest(F.col(scale_by) - 1, F.lit(0)))
-    order = Window.partitionBy(key).orderBy("ts", "event_id")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    told = requests.withColumn("at", at).withColumn("g", F.when(F.row_number().over(order) == 1, F.lit(0)).otherwise(F.round(gap * 1e6).cast("long")))
-    told = told.withColumn("s", F.sum("g").over(upto))
-    told = told.withColumn("slot", F.col("s") + F.max(F.col("at") - F.col("s")).over(upto))
-    return told.withColumn("slot_s", F.col("slot") / 1e6).withColumn("delay_s", (F.col("slot") - F.col("at")) / 1e6).withColumn("delayed", F.col("slot") > F.col("at")).drop("at", "g", "s", "slot")
-
-
 def guard_links(links: DataFrame, per_dir: int = 100, in_all: int = 1000, max_depth: int = 10) -> DataFrame:
     """link, dir, depth, pos, verdict for links to follow: ok, too deep, seen, dir full or full.
 

@@ -2,46 +2,62 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import relative_path
-from ..session import shared_folder
+from ..session import checkpointed, delete_folder, discard, new_folder
 from ..sources.tables import ancestors
 from .links import excluded_dir
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage: a table in the folder that all executors share."""
-    path = f"{shared_folder(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def discover(edges: DataFrame, root: str, max_depth: int = 50, exclude: list[str] | None = None) -> DataFrame:
     """dir_url, depth, ord: every directory below a root, once, at its least depth.
 
     edges: parent, child, pos. Children outside the root and excluded ones (with all below them) are left out;
     directories at max_depth are found but not expanded. `ord` is the path of link positions, so (depth, ord) is the
-    order of discovery and settles ties. Each level is one join of the frontier with the edges and one anti join with
-    what was seen; a level's table cuts the lineage, and only its emptiness reaches the driver.
+    order of discovery and settles ties.
+
+    Edges are bucketed by parent once, so a level shuffles its frontier alone (or ships it, while Spark finds it small).
+    A directory with one link to it can be reached once only; what was seen is asked for the others alone, and only of
+    the levels' rows of that kind. A level's table cuts the lineage; its emptiness alone reaches the driver. Edges are
+    deleted at the end.
     """
     spark = edges.sparkSession
-    inside = edges.where(F.col("child").startswith(root) & (F.col("child") != F.col("parent")) & ~excluded_dir(F.col("child"), exclude or []))
-    inside = checkpointed(inside.select("parent", "child", "pos"))
-    frontier = spark.createDataFrame([(root, 0, [])], "dir_url string, depth int, ord array<int>")
+    inside = edges.where(F.col("child").startswith(root) & (F.col("child") != F.col("parent")) & (F.col("child") != root) & ~excluded_dir(F.col("child"), exclude or []))
+    often = inside.groupBy("child").agg((F.count("*") > 1).alias("often"))
+    known = Bucketed(inside.join(often, "child").select("parent", "child", F.col("pos").cast("int").alias("pos"), "often"), "parent")
+    frontier = spark.createDataFrame([(root, 0, [], False)], "dir_url string, depth int, ord array<int>, often boolean")
     levels = [frontier]
     for depth in range(1, max_depth + 1):
-        seen = reduce(lambda a, b: a.union(b), [x.select("dir_url") for x in levels])
-        step = inside.join(frontier, F.col("parent") == F.col("dir_url")).select(F.col("child").alias("dir_url"), F.lit(depth).alias("depth"), F.concat("ord", F.array(F.col("pos").cast("int"))).alias("ord"))
-        frontier = checkpointed(step.join(seen, "dir_url", "left_anti").groupBy("dir_url", "depth").agg(F.min("ord").alias("ord")))
+        step = known.table.join(frontier.select("dir_url", "ord"), F.col("parent") == F.col("dir_url")).select(F.col("child").alias("dir_url"), F.lit(depth).alias("depth"), F.concat("ord", F.array("pos")).alias("ord"), "often")
+        seen = reduce(lambda a, b: a.union(b), [x.where("often").select("dir_url") for x in levels])
+        again = step.where("often").join(seen, "dir_url", "left_anti").groupBy("dir_url", "depth").agg(F.min("ord").alias("ord")).select("*", F.lit(True).alias("often"))
+        frontier = checkpointed(step.where("NOT often").union(again))
         if frontier.isEmpty():
+            discard(frontier)
             break
         levels.append(frontier)
-    return reduce(lambda a, b: a.union(b), levels)
+    known.delete()
+    return reduce(lambda a, b: a.union(b), levels).drop("often")
+
+
+class Bucketed:
+    """A table in the shared folder, bucketed by a column: joins on it leave its rows where they are."""
+
+    def __init__(self, df: DataFrame, column: str, buckets: int | None = None) -> None:
+        self.spark = df.sparkSession
+        n = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path = new_folder(self.spark, "tidemark")
+        self.name = self.path.rsplit("/", 1)[1].replace("-", "_")
+        df.repartition(n, column).write.format("parquet").option("path", self.path).bucketBy(n, column).sortBy(column).saveAsTable(self.name)
+        self.table = self.spark.table(self.name)
+
+    def delete(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
+        delete_folder(self.spark, self.path)
 
 
 def level_counts(found: DataFrame) -> DataFrame:
@@ -99,16 +115,28 @@ def deepest_first(dirs: DataFrame) -> DataFrame:
 def resolve_redirects(redirects: DataFrame, allowed=None, max_hops: int = 10) -> DataFrame:
     """src, final_url, hops, outcome: resolved, loop, too long or blocked (a hop that `allowed` refuses).
 
-    Every source follows its chain by one left join a hop; chains that end early leave the loop.
+    Paths of distinct nodes double: after k joins each node knows its next 2^k nodes, so ten hops take four rounds. A path
+    holds max_hops + 1 nodes at most. It loops at the first hop whose target is on it already; of several targets of a
+    source the least counts; a chain that returns to its own source loops even if that is refused.
     """
-    step = redirects.groupBy("src").agg(F.min("dst").alias("dst")).select(F.col("src").alias("at"), "dst")
-    going = redirects.select("src").distinct().select("src", F.col("src").alias("final_url"), F.lit(0).alias("hops"), F.array("src").alias("seen"))
-    done = []
-    for _ in range(max_hops):
-        moved = checkpointed(going.join(step, F.col("final_url") == F.col("at"), "left").drop("at"))
-        ends = F.when(F.col("dst").isNull(), "resolved").when(F.array_contains("seen", F.col("dst")), "loop").when(~(allowed(F.col("dst")) if allowed else F.lit(True)), "blocked")
-        told = moved.withColumn("outcome", ends)
-        done.append(told.where("outcome IS NOT NULL").select("src", "final_url", "hops", "outcome"))
-        going = told.where("outcome IS NULL").select("src", F.col("dst").alias("final_url"), (F.col("hops") + 1).alias("hops"), F.concat("seen", F.array("dst")).alias("seen"))
-    last = going.join(step, F.col("final_url") == F.col("at"), "left").select("src", "final_url", "hops", F.when(F.col("dst").isNull(), "resolved").when(F.array_contains("seen", F.col("dst")), "loop").otherwise("too long").alias("outcome"))
-    return reduce(lambda a, b: a.union(b), [*done, last])
+    step = redirects.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("dst"))
+    step = step.withColumn("ok", F.col("dst").isNotNull() & (F.coalesce(allowed(F.col("dst")), F.lit(True)) if allowed else F.lit(True)))
+    # path: the nodes after this one; stop: the refused target at its end, if there is one; open: whether it may go on
+    now = checkpointed(step.select("node", F.when(F.col("ok"), F.array("dst")).otherwise(F.array().cast("array<string>")).alias("path"), F.when(~F.col("ok"), F.col("dst")).alias("stop"), F.col("ok").alias("open")))
+    reach = 1
+    while reach <= max_hops:
+        ahead = now.select(F.col("node").alias("end"), F.col("path").alias("more"), F.col("stop").alias("stop2"), F.col("open").alias("open2"))
+        met = now.withColumn("end", F.when(F.col("open"), F.element_at("path", -1))).join(ahead, "end", "left")
+        path = F.slice(F.concat("path", F.coalesce("more", F.array().cast("array<string>"))), 1, max_hops + 1)
+        step = checkpointed(met.select("node", path.alias("path"), F.coalesce("stop", "stop2").alias("stop"), (F.col("open") & F.coalesce("open2", F.lit(False))).alias("open")))
+        discard(now)
+        now, reach = step, 2 * reach
+    whole = F.concat(F.array("node"), "path")
+    told = now.withColumn("whole", whole).withColumn("n", F.size("path"))
+    # the least hop h whose target, the node after it, stands on the path up to h
+    hops = F.filter(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0))), lambda h: (h < F.col("n")) & F.array_contains(F.slice("whole", 1, h + 1), F.get("whole", h + 1)))
+    told = told.withColumn("loop", F.when((F.col("n") > 0) & (F.get(hops, F.lit(0)) <= max_hops), F.get(hops, F.lit(0))))
+    home = F.col("stop") == F.col("node")
+    at = F.coalesce("loop", F.least(F.col("n"), F.lit(max_hops)))
+    ended = F.when(F.col("loop").isNotNull(), "loop").when(F.col("n") > max_hops, "too long").when(F.col("stop").isNull(), "resolved").when(home, "loop").when(F.col("n") == max_hops, "too long").otherwise("blocked")
+    return told.select(F.col("node").alias("src"), F.get("whole", at).alias("final_url"), at.alias("hops"), ended.alias("outcome"))

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import anchors as A
 from ..functions import headers as H
 from ..functions import urls as U
 from ..operators import links as L
@@ -15,7 +16,8 @@ from ..operators import logs as G
 from ..operators import reconcile as R
 from ..operators import transfers as X
 from ..operators import trees as T
-from ..session import shared_folder
+from ..session import new_folder
+from ..sources import snapshots as N
 from ..sources import tables as S
 from ..streaming import logs as M
 from .views import ROOT, oracle, view
@@ -66,6 +68,14 @@ def s2_inventory_directories(spark, d):
     return S.directories_of(_remote(spark, d), "url")
 
 
+@query()
+def s2_read_inventory(spark, d):
+    """The files and directories that hold the given tables themselves."""
+    files, dirs = S.read_inventory(spark, d)
+    name = lambda c: F.regexp_extract(c, "([^/]*/?)$", 1).alias("name")
+    return files.select(name(F.col("path")), "size").union(dirs.select(name(F.rtrim("dir", F.lit("/"))), F.lit(None).cast("long")))
+
+
 def _snapshots(spark, d):
     runs = [view(spark, d, "dir_signatures").select("dir_url", F.col(c).alias("signature"), F.lit(v).alias("schema_version"), F.lit(ts).cast("timestamp").alias("run_ts")) for c, v, ts in (("old_sig", 2, "2024-01-10"), ("new_sig", 2, "2024-01-20"), ("new_sig", 1, "2024-01-30"))]
     return runs[0].union(runs[1]).union(runs[2])
@@ -76,6 +86,24 @@ def s3_s4_latest_snapshot(spark, d):
     return S.latest_snapshot(_snapshots(spark, d), 2, 30, F.lit(AS_OF).cast("timestamp")).drop("run_ts")
 
 
+@query("select dir_url, new_sig as signature, 2 as schema_version, timestamp '2024-01-20 00:00:00' as run_ts from dir_signatures")
+def s3_s4_snapshot_store(spark, d):
+    """Runs are written, one of them twice and one of another version, and the newest usable one is read back."""
+    store = new_folder(spark, "snapshots")
+    sig = view(spark, d, "dir_signatures")
+    for column, version, ts in (("old_sig", 2, "2024-01-10"), ("old_sig", 2, "2024-01-20"), ("new_sig", 2, "2024-01-20"), ("old_sig", 1, "2024-01-30")):
+        S.write_snapshot(sig.select("dir_url", F.col(column).alias("signature")), store, version, ts)
+    out = S.load_snapshot(spark, store, "dir_url string, signature string", 2, 30, AS_OF)
+    return out.withColumn("run_ts", F.col("run_ts").cast("timestamp_ntz"))
+
+
+@query(f"""with h as ({_HREFS}), c as (select distinct url as dir_url, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || regexp_replace(href, '#.*$', '') as child from h where href not in ('../', './') and href not like '?%')
+ select dir_url, count(*) filter (child not like '%/') as n_files, count(*) filter (child like '%/') as n_dirs, md5(string_agg(child, chr(10) order by child)) as content_hash from c group by dir_url""")
+def s3_parsed_listings(spark, d):
+    links = L.page_links(_pages(spark, d)).select(F.col("url").alias("dir_url"), F.col("child_url").alias("child"), "is_dir")
+    return N.parsed_listings(links)[1]
+
+
 @query("""select domain, count(*) as n, max(epoch_us(ts)) // 1000000 as last_s from (select *, row_number() over (partition by domain order by ts desc) as rn from request_log where status in (429, 503)) where rn <= 20 group by domain""")
 def s5_s6_incident_store(spark, d):
     hit = view(spark, d, "request_log").where(F.col("status").isin(429, 503)).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -96,6 +124,15 @@ def s8_run_metrics(spark, d):
     return per.withColumn("url", U.redact_url(F.lit("https://me:pw@archive.example.org/run?token=1#x")))
 
 
+@query(r"""select domain, count(*) as n, 'https://' || domain || '/run?<redacted>' as url from request_log group by domain""")
+def s8_metrics_written(spark, d):
+    """Written as JSON with its URLs redacted, and read back."""
+    path = new_folder(spark, "metrics")
+    per = view(spark, d, "request_log").groupBy("domain").agg(F.count("*").alias("n"))
+    S.write_metrics(per.withColumn("url", F.concat(F.lit("https://me:pw"), F.col("n").cast("string"), F.lit("@"), "domain", F.lit("/run?token=1#x"))), path, ["url"])
+    return spark.read.schema("domain string, n bigint, url string").json(path)
+
+
 @query("""select case when count(*) > 0 then 'healthy' else 'degraded' end as status, count(*) > 0 and count(*) filter (status >= 400 and status <> 404) < 10 as is_healthy, count(*) filter (status >= 400 and status <> 404) as failed from request_log""")
 def s9_health_record(spark, d):
     log = view(spark, d, "request_log")
@@ -103,6 +140,17 @@ def s9_health_record(spark, d):
     return S.health_record(summary, G.errors_by_type(log.where("status >= 400").select(F.col("status").alias("type"))), G.latency_stats(log)).select("status", "is_healthy", "failed")
 
 
+@query("""with e as (select cast(status as varchar) as type, count(*) as n from request_log where status >= 400 group by 1), o as (select operation, least(count(*), 1000) as n from request_log group by 1)
+ select (select count(*) from e) as n_error_types, (select count(*) from o) as n_operations, (select string_agg(type || ':' || n, ',' order by n desc, type) from (select * from e order by n desc, type limit 2)) as errors, (select string_agg(operation || ':' || n, ',' order by n desc, operation) from (select * from o order by n desc, operation limit 2)) as latency""")
+def s9_health_details(spark, d):
+    log = view(spark, d, "request_log")
+    summary = G.run_summary(log).select((F.col("downloaded") > 0).alias("ok"), "failed")
+    errors = G.errors_by_type(log.where("status >= 400").select(F.col("status").cast("string").alias("type")))
+    told = S.health_record(summary, errors, G.latency_stats(log), 2)
+    shown = lambda c, name: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x[name], x["n"].cast("string"))), ",").alias(c)
+    return told.select("n_error_types", "n_operations", shown("errors", "type"), shown("latency", "operation"))
+
+
 # Projections
 
 
@@ -116,6 +164,17 @@ def p2_extract_links_auto(spark, d):
     return L.extract_links(_pages(spark, d), "auto").select("url", "href", F.col("pos").cast("long"))
 
 
+_SHOWN = r"regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g'), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g')"
+
+
+@query(rf"""select url, replace(replace(h, '&quot;', '"'), '&amp;', '&') as href, pos from (select url, unnest(hs) as h, generate_subscripts(hs, 1) - 1 as pos from (select url, regexp_extract_all({_SHOWN}, '(?i)<a\s[^>]*href="([^"]*)"', 1) as hs from pages)) where h <> '' and not regexp_matches(h, '^(#|javascript:|mailto:)')""")
+def p2_anchor_links(spark, d):
+    """Anchors alone, as a document tree gives them."""
+    pages = _pages(spark, d)
+    kept = pages.select("url", F.posexplode(A.all_anchors(F.col("html"))).alias("pos", "href"))
+    return kept.where(~F.col("href").rlike("^$|^(#|javascript:|mailto:)")).select("url", "href", F.col("pos").cast("long"))
+
+
 @query(f"with h as ({_HREFS}) select url, pos, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || regexp_replace(href, '#.*$', '') as child_url, regexp_replace(href, '#.*$', '') like '%/' as is_dir from h where href not in ('../', './') and href not like '?%'")
 def p3_resolve_links(spark, d):
     return L.page_links(_pages(spark, d)).select("url", F.col("pos").cast("long"), "child_url", "is_dir")
@@ -150,6 +209,15 @@ def p7_p13_decoded_names(spark, d):
     return _pages(spark, d).select("url", F.when(name.rlike("^index_[0-9a-f]+[.]html$"), "index").otherwise(name).alias("name"), U.percent_decode(U.path(F.col("url"))).alias("decoded"))
 
 
+@query(rf"""with p as (select page_id, case when page_id % 2 = 0 then regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || '/' || page_id || '/' else url end as url from pages) select page_id, case when url like '%/' then true else false end as fallback, case when url like '%/' then 'index_.html' else url_decode(regexp_extract({_PATH}, '([^/]*)$', 1)) end as name from p""")
+def p7_download_names(spark, d):
+    """Half of the pages are directories: their names are made of a hash (of 1 to 8 hex digits, which SQL can't compute)."""
+    pages = _pages(spark, d).withColumn("u", F.when(F.col("page_id") % 2 == 0, F.concat(U.scheme(F.col("url")), F.lit("://"), U.netloc(F.col("url")), F.lit("/"), F.col("page_id").cast("string"), F.lit("/"))).otherwise(F.col("url")))
+    told = pages.select("page_id", U.download_name(F.col("u")).alias("name"), F.lower(F.hex(F.crc32("u"))).alias("crc"))
+    made = F.col("name") == F.concat(F.lit("index_"), "crc", F.lit(".html"))
+    return told.select("page_id", made.alias("fallback"), F.when(made, "index_.html").otherwise(F.col("name")).alias("name"))
+
+
 @query(r"select url, regexp_replace(url, '^([A-Za-z]+://[^/?#]*).*$', '\1') || array_to_string([url_encode(x) for x in string_split(url_decode(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)), '/')], '/') || regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) as normal from pages")
 def p14_p15_normalize_url(spark, d):
     return _pages(spark, d).select("url", U.normalize_url(F.col("url")).alias("normal"))
@@ -203,6 +271,16 @@ def p24_target_root(spark, d):
     return view(spark, d, "nation").select("n_name", U.target_root(F.lit(ROOT), F.lower(F.replace("n_name", F.lit(" "), F.lit("_")))).alias("root"))
 
 
+@query("""with s as (select distinct dir_url, substr(dir_url, length('https://archive.example.org/data/') + 1) as x, length(dir_url) % 5 as m from remote_files), t as (select dir_url, case m when 0 then '../' || x when 1 then '/' || x when 2 then replace(x, '/c', '//c') when 3 then '' else x end as suffix, m, x from s)
+ select dir_url, suffix, case when m = 3 then 'https://archive.example.org/data/' when m = 4 then 'https://archive.example.org/data/' || x end as root from t""")
+def p24_target_roots(spark, d):
+    """Suffixes that climb, are absolute, have an empty segment, are missing, or fit."""
+    s = view(spark, d, "remote_files").select("dir_url").distinct()
+    x, m = F.substr("dir_url", F.lit(len(ROOT) + 1)), F.length("dir_url") % 5
+    suffix = F.when(m == 0, F.concat(F.lit("../"), x)).when(m == 1, F.concat(F.lit("/"), x)).when(m == 2, F.replace(x, F.lit("/c"), F.lit("//c"))).when(m == 3, F.lit("")).otherwise(x)
+    return s.withColumn("suffix", suffix).withColumn("root", U.target_root(F.lit(ROOT), F.col("suffix")))
+
+
 @query("select doc_id, md5(text) as md5, sha256(text) as sha256 from documents")
 def p25_content_signature(spark, d):
     c = F.encode("text", "UTF-8")
@@ -211,7 +289,13 @@ def p25_content_signature(spark, d):
 
 @query("""select dir_url, md5(string_agg(url, chr(10) order by url)) as signature from (select dir_url, concat(dir_url, filename) as url from remote_files) group by dir_url""")
 def p25_listing_signature(spark, d):
-    return _remote(spark, d).groupBy("dir_url").agg(H.listing_signature(F.collect_list("url")).alias("signature"))
+    return H.listing_signatures(_remote(spark, d), "dir_url", "url")
+
+
+@query()
+def p25_blake2b_signature(spark, d):
+    """BLAKE2b is in no SQL of DuckDB's; a test holds it against hashlib."""
+    return view(spark, d, "documents").select("doc_id", H.content_signature(F.encode("text", "UTF-8"), "blake2b").alias("blake2b"))
 
 
 @query("""select url, coalesce('etag:' || trim(regexp_replace(etag, '^[Ww]/', ''), '"'), 'mtime:' || strftime(last_modified, '%Y-%m-%d %H:%M:%S'), 'url:' || url) as signature from (select concat(dir_url, filename) as url, * from remote_files)""")
@@ -219,6 +303,12 @@ def p26_dir_signature(spark, d):
     return _remote(spark, d).select("url", H.dir_signature(F.col("url"), F.lit(None).cast("string"), F.col("etag"), F.col("last_modified")).alias("signature"))
 
 
+@query("""select url, case when k % 3 = 0 then 'content:' || md5(url) when etag is not null then 'etag:' || trim(regexp_replace(etag, '^[Ww]/', ''), '"') when last_modified is not null then 'mtime:' || strftime(last_modified, '%Y-%m-%d %H:%M:%S') else 'url:' || url end as signature from (select concat(dir_url, filename) as url, * from remote_files)""")
+def p26_signature_by_content(spark, d):
+    content = F.when(F.col("k") % 3 == 0, F.md5("url")).when(F.col("k") % 3 == 1, F.lit(""))
+    return _remote(spark, d).select("url", H.dir_signature(F.col("url"), content, F.col("etag"), F.col("last_modified")).alias("signature"))
+
+
 @query("""select url, cast(i as integer) as chunk_id, i * (size // n) as start_byte, case when i = n - 1 then size - 1 else (i + 1) * (size // n) - 1 end as end_byte
  from (select url, size, n, unnest(range(n)) as i from (select concat(dir_url, filename) as url, size, greatest(2, least(8, size // 10485760)) as n from remote_files where size >= 10485760))""")
 def p27_plan_ranges(spark, d):
@@ -249,6 +339,13 @@ def f3_skip_navigation(spark, d):
     return L.extract_links(_pages(spark, d)).agg(F.count("*").alias("n_links"), F.count_if(~F.col("href").isin("../", "./") & ~F.col("href").startswith("?")).alias("n_content"))
 
 
+@query(f"with h as ({_HREFS}) select url, pos from h where href not in ('../', './') and href not like '?%'")
+def f3_content_links(spark, d):
+    """Through the operator: parent, self and query links are added to each page first, and must go."""
+    pages = _pages(spark, d).withColumn("html", F.concat("html", F.lit('<a href="../">u</a><a href="./">s</a><a href="?C=M;O=A">m</a>')))
+    return L.page_links(pages).select("url", F.col("pos").cast("long"))
+
+
 _MIXED = "case when page_id % 4 = 0 then replace(url, 'https:', 'ftp:') when page_id % 4 = 1 then replace(url, '.example.', '.example.net.') else url end"
 
 
@@ -359,12 +456,33 @@ def j6_obsolete_files(spark, d):
     return R.obsolete_files(view(spark, d, "local_files"), _remote(spark, d), _pages(spark, d)).select("url")
 
 
+@query(f"select url, failed from ({_OBSOLETE}), (values (false), (true)) t(failed) where not failed")
+def j6_gated_by_failures(spark, d):
+    """Twice: with the listings as they are, and with one that failed, after which nothing counts as obsolete."""
+    local, remote, pages = view(spark, d, "local_files"), _remote(spark, d), _pages(spark, d)
+    bad = pages.withColumn("failed", F.col("page_id") == F.lit(0))
+    runs = [R.obsolete_files(local, remote, p).select("url", F.lit(failed).alias("failed")) for p, failed in ((pages, False), (bad, True))]
+    return runs[0].union(runs[1])
+
+
 @query(f"select url from {_R} where lower(filename) like '%.txt' or contains(lower(filename), '77') or regexp_matches(filename, '(?i)^o5.*png$')")
 def j7_match_patterns(spark, d):
     patterns = spark.createDataFrame([("suffix", ".TXT"), ("substring", "77"), ("regex", "^o5.*png$")], "kind string, pattern string")
     return L.match_patterns(_remote(spark, d), patterns, F.col("filename")).select("url")
 
 
+_PATTERNS = """select 'suffix' as kind, concat(cast(o_orderkey % 5000 as S), '.PNG') as pattern from orders where o_orderkey % 40 = 1 union all select 'substring', concat('O', cast(o_orderkey as S)) from orders where o_orderkey % 300 = 7
+ union all select 'regex', concat('^o', cast(o_custkey as S), '[0-9]+[.](fits|txt)$') from orders where o_orderkey % 500 = 3 union all select 'regex', '^[a-z]99+[.]' from orders where o_orderkey = 1"""
+
+
+@query(f"""with p as ({_PATTERNS.replace(" as S)", " as varchar)")}) select distinct url from {_R} r, (select distinct * from p) where case kind when 'suffix' then ends_with(lower(filename), lower(pattern)) when 'substring' then contains(lower(filename), lower(pattern)) else regexp_matches(filename, '(?i)' || pattern) end""")
+def j7_match_pattern_table(spark, d):
+    """A pattern table that grows with the input."""
+    view(spark, d, "orders").createOrReplaceTempView("tidemark_orders")
+    patterns = spark.sql(_PATTERNS.replace(" as S)", " as string)").replace("from orders", "from tidemark_orders"))
+    return L.match_patterns(_remote(spark, d), patterns, F.col("filename")).select("url")
+
+
 @query(f"select url as key from local_files where url not in (select url from {_R})")
 def j8_stale_metadata(spark, d):
     return R.stale_metadata(view(spark, d, "local_files").select(F.col("url").alias("key")), _remote(spark, d).select(F.col("url").alias("key")))
@@ -429,6 +547,16 @@ def a4_run_summary(spark, d):
     return G.run_summary(view(spark, d, "request_log")).withColumn("mean_ms", F.round("mean_ms", 6)).withColumn("bytes_per_s", F.round("bytes_per_s", 4))
 
 
+@query("""select (select count(*) from pages) as pages_parsed, round((select sum(strlen(html)) from pages) / 1000000.0, 6)::double as parse_mb, round((select sum(strlen(html)) / 1000000.0::double / (sum(page_id % 50 + 1) / 1000.0::double) from pages), 6) as parse_mb_per_s,
+ count(*) as lookups, count(*) filter (rtt_ms < 500) as hits, round(count(*) filter (rtt_ms < 500) * 100.0::double / count(*), 6) as hit_pct, count(*) filter (status = 200) as downloaded from request_log""")
+def a4_run_report(spark, d):
+    log = view(spark, d, "request_log")
+    parses = _pages(spark, d).select(F.octet_length("html").alias("bytes"), (F.col("page_id") % 50 + 1).alias("ms"))
+    told = G.run_report(log, parses, log.select(F.col("operation").alias("cache"), (F.col("rtt_ms") < 500).alias("hit")))
+    told = told.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in ("parse_mb", "parse_mb_per_s", "hit_pct")})
+    return told.select("pages_parsed", "parse_mb", "parse_mb_per_s", "lookups", "hits", "hit_pct", "downloaded")
+
+
 @query("""with r as (select *, row_number() over (partition by operation order by ts desc, event_id desc) as rn from request_log), k as (select *, row_number() over (partition by operation order by rtt_ms, event_id) as rk, count(*) over (partition by operation) as n from r where rn <= 1000),
  t as (select operation, count(*) filter (status < 400) as success, count(*) filter (status >= 400) as failure from request_log group by 1)
  select operation, round(avg(rtt_ms), 6) as avg_ms, max(rtt_ms) filter (rk = floor(0.95::double * n) + 1) as p95_ms, max(rtt_ms) as max_ms, min(rtt_ms) as min_ms, count(*) as n, any_value(success) as success, any_value(failure) as failure from k join t using (operation) group by operation""")
@@ -436,6 +564,14 @@ def a5_latency_stats(spark, d):
     return G.latency_stats(view(spark, d, "request_log")).withColumn("avg_ms", F.round("avg_ms", 6))
 
 
+@query("""with r as (select *, row_number() over (partition by operation order by ts desc, event_id desc) as rn from request_log), k as (select *, row_number() over (partition by operation order by rtt_ms, event_id) as rk, count(*) over (partition by operation) as n from r where rn <= 1000),
+ o as (select operation, count(*) as n, avg(rtt_ms) as m, max(rtt_ms) filter (rk = floor(0.95::double * n) + 1) as p from k group by 1), t as (select count(*) filter (status < 400) as success, count(*) filter (status >= 400) as failure from request_log)
+ select count(*) as operations, cast(sum(n) as bigint) as calls, any_value(success) as success, any_value(failure) as failure, round(any_value(success) * 100.0::double / (any_value(success) + any_value(failure)), 6) as success_pct, round(sum(m * n) / sum(n), 6) as mean_ms, arg_min(operation, (-p, operation)) as slowest from o, t""")
+def a5_latency_totals(spark, d):
+    out = G.latency_totals(G.latency_stats(view(spark, d, "request_log")))
+    return out.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in ("success_pct", "mean_ms")})
+
+
 @query("""with r as (select *, status < 400 as ok, row_number() over (partition by domain order by ts desc, event_id desc) as rn from request_log), k as (select * from r where rn <= 50),
  p as (select *, 1 - count(*) filter (ok) over w / count(*) over w > 0.05 or coalesce(avg(rtt_ms) filter (ok) over w, 0) > 1000 as slow from k window w as (partition by domain order by ts, event_id rows unbounded preceding))
  select domain, count(*) as n, round(1 - count(*) filter (ok) / count(*), 6) as error_rate, round(coalesce(avg(rtt_ms) filter (ok), 0), 6) as avg_rtt_ms, round(coalesce(count(*) filter (ok) / (sum(rtt_ms) filter (ok) / 1000), 0), 6) as files_per_s,
@@ -497,9 +633,22 @@ def a13_distinct_urls(spark, d):
     return G.distinct_urls(f.union(f))
 
 
-@query("""select case when s = 404 then 'failed' else 'processed' end as status, count(*) as n, string_agg(r, ',' order by r) as suffixes from (select r_name as r, max(case when r_regionkey = 3 then 404 else 200 end) as s from region group by 1) group by 1""")
+_ROOTS = "select substr(dir_url, 1, length(dir_url)) as suffix, case when max(case when status in (404, 500) then 1 else 0 end) = 1 then 'failed' when max(case when status = 304 then 1 else 0 end) = 1 then 'skipped' else 'processed' end as status from remote_files group by 1"
+
+
+@query(f"select status, count(*) as n, count(distinct suffix) as n_suffixes, min(suffix) as first_suffix, max(suffix) as last_suffix from ({_ROOTS}) group by 1")
 def a14_suffix_summary(spark, d):
-    return G.suffix_summary(view(spark, d, "region").select(F.col("r_name").alias("suffix"), F.when(F.col("r_regionkey") == 3, "failed").otherwise("processed").alias("status")))
+    return G.suffix_summary(_roots(spark, d))
+
+
+@query(f"select status, suffix, rank from (select status, suffix, row_number() over (partition by status order by suffix) as rank from ({_ROOTS})) where rank <= 20")
+def a14_suffixes_of(spark, d):
+    return G.suffixes_of(_roots(spark, d)).withColumn("rank", F.col("rank").cast("long"))
+
+
+def _roots(spark, d):
+    bad, same = F.max(F.col("status").isin(404, 500)), F.max(F.col("status") == 304)
+    return view(spark, d, "remote_files").groupBy(F.col("dir_url").alias("suffix")).agg(F.when(bad, "failed").when(same, "skipped").otherwise("processed").alias("status"))
 
 
 @query("select count(*) as followed, count(distinct user_id) as n_unique, count(distinct user_id % 20) as n_dirs from events")
@@ -536,10 +685,11 @@ def w4_rolling_speed(spark, d):
     return G.rolling_speed(b).select("key", "batch", F.round("mean_speed", 6).alias("mean_speed"), "slow")
 
 
-@query("""with s as (select domain, date_trunc('second', ts) as sec, cast(sum(bytes) as bigint) as bytes from request_log group by 1, 2), n as (select *, row_number() over (partition by domain order by sec) as i, max(bytes) over (partition by domain order by sec rows unbounded preceding) as peak from s)
- select a.domain, a.sec, a.bytes, a.peak, round(sum(0.1 * pow(0.9::double, a.i - b.i) * b.bytes), 3) as ewma from n a join n b on a.domain = b.domain and b.i between a.i - 399 and a.i group by all""")
+@query("""with recursive s as (select domain, date_trunc('second', ts) as sec, cast(sum(bytes) as bigint) as bytes from request_log group by 1, 2), n as materialized (select *, row_number() over (partition by domain order by sec) as i, max(bytes) over (partition by domain order by sec rows unbounded preceding) as peak from s),
+ e as (select domain, i, 0.1::double * bytes as x from n where i = 1 union all select n.domain, n.i, 0.9::double * e.x + 0.1::double * n.bytes from e join n on n.domain = e.domain and n.i = e.i + 1)
+ select n.domain, sec, bytes, peak, round(x + 0.0000001, 3) as ewma from n join e on n.domain = e.domain and n.i = e.i""")
 def w5_bandwidth_curve(spark, d):
-    return G.bandwidth_curve(view(spark, d, "request_log")).withColumn("sec", F.col("sec").cast("timestamp_ntz")).withColumn("ewma", F.round("ewma", 3))
+    return G.bandwidth_curve(view(spark, d, "request_log")).withColumn("sec", F.col("sec").cast("timestamp_ntz")).withColumn("ewma", F.round(F.col("ewma") + 0.0000001, 3))
 
 
 @query("""select event_id, case when c > 0.05 then 'up' when c < -0.05 then 'down' when c is not null then 'flat' end as trend from (select event_id, rtt_ms / nullif(lag(rtt_ms) over (partition by domain order by ts, event_id), 0) - 1 as c from request_log)""")
@@ -547,19 +697,11 @@ def w6_throughput_change(spark, d):
     return G.throughput_change(view(spark, d, "request_log").select(F.col("domain").alias("key"), "ts", "event_id", F.col("rtt_ms").alias("value"))).select("event_id", "trend")
 
 
-_SCHEDULE = """with e as (select *, epoch_us(ts) as tm, case when row_number() over w = 1 then 0 else 900000000 end as g from request_log window w as (partition by domain order by ts, event_id)),
- s as (select *, sum(g) over (partition by domain order by ts, event_id rows unbounded preceding) as s from e), t as (select *, s + max(tm - s) over (partition by domain order by ts, event_id rows unbounded preceding) as slot from s)
- select event_id, round((slot - tm) / 1000000, 6) as delay_s, slot > tm as delayed from t"""
-
-
-@query(_SCHEDULE)
-def w7_crawl_schedule(spark, d):
-    return X.crawl_schedule(view(spark, d, "request_log"), "domain", 900.0).select("event_id", F.round("delay_s", 6).alias("delay_s"), "delayed")
-
-
-@query("select domain as key, event_id, updated from (select domain, event_id, ts as updated, row_number() over (partition by domain order by ts desc) as rn from request_log) where rn = 1")
+@query("select domain as key, event_id, updated from (select domain, event_id, cast(date_trunc('day', ts) as timestamp) as updated, row_number() over (partition by domain order by date_trunc('day', ts) desc, event_id desc) as rn from request_log) where rn = 1")
 def w8_latest_metadata(spark, d):
-    return R.latest_metadata(view(spark, d, "request_log").select(F.col("domain").alias("key"), "event_id", F.col("ts").alias("updated")))
+    """By day, so that each key has many rows of one time: the tie column decides."""
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz").alias("updated")
+    return R.latest_metadata(view(spark, d, "request_log").select(F.col("domain").alias("key"), "event_id", day), tie="event_id")
 
 
 @query("""with e as (select user_id as link, user_id % 20 as dir, event_id % 12 as depth, event_id as pos from events), s as (select *, case when depth > 10 then 'too deep' when row_number() over (partition by link, depth > 10 order by pos) > 1 then 'seen' end as v from e),
@@ -574,7 +716,8 @@ _CURVE = """select domain as job, ts, event_id, count(*) over w as done, count(*
 
 
 def _jobs(spark, d):
-    return view(spark, d, "request_log").select(F.col("domain").alias("job"), "ts", "event_id", F.count("*").over(Window.partitionBy("domain")).alias("total"))
+    log = view(spark, d, "request_log").select(F.col("domain").alias("job"), "ts", "event_id")
+    return log.join(log.groupBy("job").agg(F.count("*").alias("total")), "job")
 
 
 @query(f"select job, event_id, done, round(pct, 6) as pct, round(case when spent > 0 then done / spent else 0 end, 9) as rate, round(case when spent > 0 then (total - done) / (done / spent) end, 3) as eta_s from ({_CURVE})")
@@ -600,6 +743,12 @@ def l1_work_list(spark, d):
     return X.work_list(t.union(t))
 
 
+@query(f"select url, floor((rn - 1) / 64) :: bigint as batch, rn - 1 as place from (select url, row_number() over (order by ck % 3, k, url) as rn from {_R}) where rn <= 10000")
+def l1_work_batches(spark, d):
+    t = _remote(spark, d).select("url", F.col("dir_url").alias("path"), (F.col("ck") % 3).alias("priority"), F.col("k").alias("created_at"))
+    return X.work_batches(t.union(t), 64).select("url", "batch", "place")
+
+
 @query(f"select url, cast(greatest((select count(*) from remote_files) - 10, 0) as bigint) as n_more from {_R} order by url limit 10")
 def l2_l3_preview(spark, d):
     return X.preview(_remote(spark, d).select("url"))
@@ -682,6 +831,14 @@ def c1_classify_responses(spark, d):
     return G.classify_responses(log, 3, F.lit(AS_OF).cast("timestamp")).select("event_id", "class", "is_incident", "wait_s")
 
 
+@query("""with e as (select event_id, case event_id % 9 when 0 then 200 when 1 then 206 when 2 then 301 when 3 then 308 when 4 then 304 when 5 then 416 when 6 then 404 when 7 then 429 else 503 end as s, event_id % 5 as a from events)
+ select event_id, case when s = 304 then 'not modified' when s = 416 then 'range' when s in (301, 308) then 'redirect' when s in (200, 206) then 'ok' when s in (429, 503) and a < 3 then 'retry' when s = 503 then 'final 5xx' else 'final 4xx' end as class from e""")
+def c1_every_class(spark, d):
+    status = F.element_at(F.array(*[F.lit(x) for x in (200, 206, 301, 308, 304, 416, 404, 429, 503)]), (F.col("event_id") % 9 + 1).cast("int"))
+    log = view(spark, d, "events").select("event_id", status.alias("status"), (F.col("event_id") % 5).alias("attempt"), F.lit(None).cast("string").alias("retry_after"))
+    return G.classify_responses(log, 3, F.lit(AS_OF).cast("timestamp")).select("event_id", "class")
+
+
 @query("""with e as (select event_id, case event_id % 6 when 0 then 200 when 1 then 206 when 2 then 416 when 3 then 404 when 4 then 500 else 200 end as s, event_id % 4 * 100 as p from events)
  select event_id, case when s = 416 and p >= 200 then 'already complete' when s = 416 then 'restart' when s = 206 and p > 0 then 'resumed' when s = 200 and p > 0 then 'range ignored' when s in (200, 206) then 'downloaded' when s = 404 then 'skipped' else 'failed' end as outcome from e""")
 def c2_classify_transfers(spark, d):
@@ -739,9 +896,16 @@ def t2_throughput(spark, d):
     return out.withColumn("start_ts", F.col("start_ts").cast("timestamp_ntz")).withColumn("mb_per_s", F.round("mb_per_s", 9))
 
 
+@query("select time_bucket(interval '10 seconds', ts) as start_ts, count(*) as n_files, cast(sum(bytes) as bigint) as bytes from request_log group by 1 having time_bucket(interval '10 seconds', ts) + interval '10 seconds' <= (select max(ts) - interval '1 day' from request_log)")
+def t2_closed_throughput(spark, d):
+    """In append mode: windows that the watermark has passed, each told once and then forgotten."""
+    out = M.run_available(M.throughput(_stream(spark, d)))
+    return out.select(F.col("start_ts").cast("timestamp_ntz").alias("start_ts"), "n_files", "bytes")
+
+
 @query("""select domain, min(ts) as start_ts, max(ts) as end_ts, count(*) as failures from (select *, sum(case when status < 400 then 1 else 0 end) over (partition by domain order by ts, event_id rows unbounded preceding) as run from request_log) where status >= 400 group by domain, run""")
 def t3_failure_runs(spark, d):
-    return M.failure_runs(view(spark, d, "request_log").withColumn("ok", F.col("status") < 400))
+    return G.failure_runs(view(spark, d, "request_log").withColumn("ok", F.col("status") < 400))
 
 
 @query("select distinct domain from request_log")
@@ -749,10 +913,21 @@ def t4_distinct_within(spark, d):
     return M.run_available(M.distinct_within(_stream(spark, d), "domain", "60 days")).select("domain")
 
 
-@query("""with e as (select domain, ts, bytes, status, case when ts >= lag(ts) over (partition by domain order by ts) + interval '2 hours' then 1 else 0 end as b from request_log), s as (select *, sum(b) over (partition by domain order by ts rows unbounded preceding) as n from e)
- select domain, min(ts) as start_ts, max(ts) as last_ts, cast(sum(bytes) as bigint) as bytes, case when bool_or(status = 404) then 'completed' else 'stale' end as state from s group by domain, n""")
+@query("""with recursive a as (select domain, min(ts) as ts from request_log group by domain union all select a.domain, (select min(r.ts) from request_log r where r.domain = a.domain and r.ts > a.ts + interval '36 hours') from a where a.ts is not null)
+ select domain, ts from a where ts is not null""")
+def t4_distinct_ttl(spark, d):
+    """A time to live of a day and a half within a month: keys come back."""
+    out = M.run_available(M.distinct_within(_stream(spark, d), "domain", "36 hours"))
+    return out.select("domain", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("""with e as (select domain, ts, bytes, status = 404 as c, event_id from request_log), o as (select *, lag(ts) over w as lt, lag(c) over w as lc from e window w as (partition by domain order by ts, c, event_id)),
+ s as (select *, sum(case when lt is null or lc or ts >= lt + interval '2 hours' then 1 else 0 end) over (partition by domain order by ts, c, event_id rows unbounded preceding) as n from o)
+ select domain, min(ts) as start_ts, max(ts) as last_ts, cast(sum(bytes) as bigint) as bytes, case when bool_or(c) then 'completed' else 'stale' end as state from s group by domain, n
+ having bool_or(c) or max(ts) + interval '2 hours' < (select max(ts) - interval '1 day' from e) or n < (select max(n) from s z where z.domain = s.domain)""")
 def t5_transfer_sessions(spark, d):
-    out = M.run_available(M.transfer_sessions(_stream(spark, d).withColumn("completed", F.col("status") == 404), "domain", "2 hours"), "complete")
+    """Closed sessions: by completion, by a later row, or by a timer once the watermark has passed their end."""
+    out = M.run_available(M.transfer_sessions(_stream(spark, d).withColumn("completed", F.col("status") == 404), "domain", "2 hours"))
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_ts", "last_ts")})
 
 
@@ -762,15 +937,33 @@ def t6_rolling_profile(spark, d):
     return out.withColumn("start_ts", F.col("start_ts").cast("timestamp_ntz")).withColumn("error_rate", F.round("error_rate", 9)).withColumn("avg_rtt_ms", F.round("avg_rtt_ms", 6))
 
 
-@query("select cast(event_id as varchar) as url, case when event_id % 3 = 0 then 'remote only' else 'both' end as side from events")
-def t7_incremental_reconcile(spark, d):
-    import uuid
+_CHANGED = "dir_url in (select dir_url from remote_files where k % 50 = 0)"
+
 
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    listing = _stream(spark, d).select(F.col("event_id").cast("string").alias("url"))
-    snapshot = lambda s: view(s, d, "events").where("event_id % 3 <> 0").select(F.col("event_id").cast("string").alias("url"))
-    M.incremental_reconcile(listing, snapshot, lambda df, n: df.write.mode("overwrite").parquet(f"{base}/out/batch={n}"), f"{base}/progress").awaitTermination()
-    return spark.read.schema("url string, side string, batch long").parquet(f"{base}/out").drop("batch")
+@query(_fresh().replace("g.old_sig = g.new_sig and g.new_sig not like 'url:%'", "r." + _CHANGED.replace("dir_url in", "dir_url not in", 1)))
+def t7_incremental_reconcile(spark, d):
+    """Two days of listings, one batch each; on the second one file in fifty has another size, and with it its directory
+    another signature. The verdicts of the second day: directories of which nothing changed are trusted."""
+    base = new_folder(spark, "reconcile")
+    files = _remote(spark, d).select("url", "dir_url", "size", F.col("last_modified").cast("timestamp").alias("last_modified"), "etag", "status", "k")
+    for day in (0, 1):
+        files.withColumn("size", F.when((F.col("k") % 50 == 0) & F.lit(day == 0), F.col("size") + 1).otherwise(F.col("size"))).drop("k").write.parquet(f"{base}/in/day{day}")
+        listing = spark.readStream.schema(files.drop("k").schema).option("recursiveFileLookup", "true").parquet(f"{base}/in")
+        sink = lambda changes, verdicts, n: verdicts.write.mode("overwrite").parquet(f"{base}/out/batch={n}")
+        M.incremental_reconcile(listing, lambda s: view(s, d, "local_files"), f"{base}/store", sink, f"{base}/progress").awaitTermination()
+    return spark.read.schema("url string, needs_download boolean, reason string").parquet(f"{base}/out/batch=1")
+
+
+@query("""select count(*) as n, count(*) filter (t.w <= (select max(ts) - interval '1 day' from request_log where event_id % 2 = 0)) as n_late from request_log, lateral (select time_bucket(interval '10 seconds', ts) + interval '10 seconds' as w) t where event_id % 2 = 1""")
+def t2_late_rows(spark, d):
+    """Events with even numbers come first; of those with odd ones, all in windows that have closed by then are late."""
+    base = new_folder(spark, "late")
+    log = view(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    for rest in (0, 1):
+        log.where(F.col("event_id") % 2 == rest).write.parquet(f"{base}/in/part{rest}")
+        listing = spark.readStream.schema(log.schema).option("recursiveFileLookup", "true").parquet(f"{base}/in")
+        late, marks = M.late_rows(listing, F.window("ts", "10 seconds")["end"], folder=f"{base}/state")
+    return marks.where("batch = 1").select("n", "n_late")
 
 
 # SQL surface

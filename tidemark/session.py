@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: dict[str, str] = {}
+_tables: list[str] = []
 
 
 def session(app: str = "tidemark", **settings: str) -> SparkSession:
@@ -29,3 +33,43 @@ def shared_folder(spark: SparkSession) -> str:
     if context.applicationId not in _own_folder:
         _own_folder[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
     return _own_folder[context.applicationId]
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage: a table in the folder that all executors share. `scratch` deletes it; so does `discard`."""
+    path = new_folder(df.sparkSession, "tidemark")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tidemark_path = path
+    return out
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """The name of a new folder under the shared one."""
+    _tables.append(f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _tables[-1]
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables of checkpointed frames. Only for frames that nothing still to be run reads."""
+    for frame in frames:
+        delete_folder(frame.sparkSession, frame._tidemark_path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    if path in _tables:
+        _tables.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end of the block, all tables that operators wrote to the shared folder within it. Results are lazy:
+    write or collect them before the block ends."""
+    before = set(_tables)
+    try:
+        yield
+    finally:
+        for path in [p for p in _tables if p not in before]:
+            delete_folder(spark, path)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.urls import redact_url
+from .inventory import is_mounted, read_tree
+from .snapshots import latest_snapshot, load_snapshot, write_snapshot  # noqa: F401
 
 INCIDENT_VERSION = 1
 KEPT_INCIDENTS = 20
@@ -19,8 +21,15 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages.withColumn("status", status.cast("int")).withColumn("failed", (F.coalesce(F.col("status"), F.lit(0)) != 200) | F.col("html").isNull())
 
 
-def read_inventory(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Files (path, size, mtime) below a root, and the directories that hold any. Contents are not read."""
+def read_inventory(spark: SparkSession, root: str, partitions: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Files (path, size, mtime) below a root, and its directories (dir). Contents are not read.
+
+    A mounted root is walked by tasks (`read_tree`), so empty directories are among them. A store that only Spark's readers
+    open is listed by Spark; there, directories are those that hold a file.
+    """
+    if is_mounted(root):
+        found = read_tree(spark, root, partitions)
+        return found.where("NOT is_dir").drop("is_dir"), found.where("is_dir").select(F.col("path").alias("dir"))
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
     return found, directories_of(found)
 
@@ -31,29 +40,18 @@ def directories_of(files: DataFrame, path: str = "path") -> DataFrame:
 
 
 def ancestors(path: Column) -> Column:
-    """All directories above a path: for a URL from its site on, for a plain path from its first segment on."""
+    """All directories above a path: for a URL from its site on, for a plain path from its first segment on. Each is the one
+    before it and one segment more."""
     site = F.regexp_extract(path, r"^([A-Za-z][A-Za-z0-9+.-]*:/+[^/]*/|/)", 1)
-    rest = F.substr(path, F.length(site) + 1)
-    parts = F.slice(F.split(rest, "/"), F.lit(1), F.size(F.split(rest, "/")) - 1)
-    below = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(site, F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
-    return F.when(site != "", F.concat(F.array(site), below)).otherwise(below)
-
-
-def write_snapshot(df: DataFrame, path: str, schema_version: int, run_ts: str) -> None:
-    """Append a run; readers see all of it or nothing."""
-    stamped = df.withColumn("schema_version", F.lit(schema_version)).withColumn("run_ts", F.lit(run_ts).cast("timestamp"))
-    stamped.write.mode("append").partitionBy("run_ts").parquet(path)
-
+    parts = F.split(F.regexp_replace(path, r"^([A-Za-z][A-Za-z0-9+.-]*:/+[^/]*/|/)", ""), "/")
+    inner = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    start = F.struct(site.alias("at"), F.when(site != "", F.array(site)).otherwise(F.array().cast("array<string>")).alias("all"))
 
-def latest_snapshot(runs: DataFrame, schema_version: int, max_age_days: int, as_of: Column, refresh: bool = False) -> DataFrame:
-    """The newest run of the right version that is at most so old; empty if none is, or if a refresh is forced."""
-    fit = runs.where((F.col("schema_version") == schema_version) & (F.col("run_ts").cast("timestamp") >= as_of - F.make_interval(days=F.lit(max_age_days))) & F.lit(not refresh))
-    return fit.join(F.broadcast(fit.agg(F.max("run_ts").alias("last"))), F.col("run_ts") == F.col("last")).drop("last")
+    def step(got: Column, part: Column) -> Column:
+        at = F.concat(got["at"], part, F.lit("/"))
+        return F.struct(at.alias("at"), F.concat(got["all"], F.array(at)).alias("all"))
 
-
-def load_snapshot(spark: SparkSession, path: str, schema: str, schema_version: int, max_age_days: int, as_of: str, refresh: bool = False) -> DataFrame:
-    runs = spark.read.schema(f"{schema}, schema_version int, run_ts timestamp").parquet(path)
-    return latest_snapshot(runs, schema_version, max_age_days, F.lit(as_of).cast("timestamp"), refresh)
+    return F.aggregate(inner, start, step, lambda got: got["all"])
 
 
 def read_incidents(spark: SparkSession, path: str) -> DataFrame:
@@ -86,13 +84,22 @@ def sanitize_keyed(df: DataFrame, key: str, order: str) -> tuple[DataFrame, Data
 
 
 def write_metrics(df: DataFrame, path: str, url_columns: list[str]) -> None:
-    """A run's metrics (a few rows) as JSON, with its URLs redacted."""
-    df.withColumns({c: redact_url(F.col(c)) for c in url_columns}).coalesce(1).write.mode("overwrite").json(path)
+    """A run's metrics as JSON, with its URLs redacted. A repeated run replaces them."""
+    df.withColumns({c: redact_url(F.col(c)) for c in url_columns}).write.mode("overwrite").json(path)
+
+
+def health_record(summary: DataFrame, errors: DataFrame, latency: DataFrame, most: int = 20) -> DataFrame:
+    """One row: summary (of one row: ok, failed, ...), errors, latency, status, is_healthy.
+
+    errors (type, n) and latency (operation, n, ...) are told as arrays of their `most` rows with the largest n, so the
+    record stays small however many kinds there are; n_error_types and n_operations count them all.
+    """
 
+    def record(df: DataFrame, name: str, count: str, tie: str) -> DataFrame:
+        first = df.orderBy(F.desc("n"), tie).limit(most).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("_o"), *df.columns))).alias("a"))
+        told = first.select(F.transform("a", lambda x: F.struct(*[x[c].alias(c) for c in df.columns])).alias(name))
+        return told.crossJoin(df.agg(F.count("*").alias(count)))
 
-def health_record(summary: DataFrame, errors: DataFrame, latency: DataFrame) -> DataFrame:
-    """One row from a one-row summary (ok, failed, ...), error rows and latency rows."""
-    record = lambda df, name: df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
     one = summary.select(F.struct(*summary.columns).alias("summary"), F.col("ok"), F.col("failed"))
-    told = one.crossJoin(record(errors, "errors")).crossJoin(record(latency, "latency"))
+    told = one.crossJoin(record(errors, "errors", "n_error_types", "type")).crossJoin(record(latency, "latency", "n_operations", "operation"))
     return told.withColumn("status", F.when(F.col("ok"), "healthy").otherwise("degraded")).withColumn("is_healthy", F.col("ok") & (F.col("failed") < 10))
