@@ -985,3 +985,23 @@ def x3_functions_from_sql(spark, d):
     register(spark)
     _pages(spark, d).createOrReplaceTempView("tidemark_pages")
     return spark.sql("SELECT url, url_host(url) AS host FROM tidemark_pages")
+
+
+@query(rf"""select url, regexp_extract(url, '^([A-Za-z]+):', 1) as scheme, {_HOST} as host, {_PATH} as path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) as query, regexp_extract(url, '^(.*/)', 1) as parent, url like '%/' as is_dir,
+ regexp_replace(regexp_replace(url, '#.*$', ''), '\?.+$', '?<redacted>') as redacted, md5(encode(url)) as md5, sha256(encode(url)) as sha256, len(html) > 0 as has_html, least(pow(2.0, page_id % 9), 60.0)::double as backoff, greatest(1, least(8, page_id // 2)) > 0 as chunks, page_id * 1048576 >= 10485760 as splittable from pages""")
+def x3_every_function_from_sql(spark, d):
+    """One statement that calls each registered function; SQL here checks those that it can express."""
+    from ..functions.sql import register
+
+    names = register(spark)
+    _pages(spark, d).createOrReplaceTempView("tidemark_pages")
+    calls = {
+        "url_resolve": "url, 'x/../y'", "url_relative": "url, url_site(url)", "local_key": "url, url_site(url)", "target_root": "url_site(url), 'a/b'", "url_security_verdict": "url, url", "url_scope_verdict": "url, url_site(url)", "url_in_base_scope": "url, url_site(url)",
+        "is_ip": "url_host(url)", "is_private_ip": "url_host(url)", "ip_kind": "url_host(url)", "retry_after_seconds": "'5', timestamp '2024-01-01'", "backoff_seconds": "cast(page_id % 9 as int)", "format_bytes": "page_id", "format_duration": "cast(page_id as double)", "content_md5": "encode(url, 'UTF-8')",
+        "content_sha256": "encode(url, 'UTF-8')", "blake2b_hex": "encode(url, 'UTF-8')", "listing_signature": "array(url, html)", "dir_signature": "url, null, url, null", "chunk_count": "page_id * 1048576", "splittable": "page_id * 1048576", "page_hrefs": "html", "page_anchors": "html",
+    }
+    every = ", ".join(f"{f}({calls.get(f, 'url')}) AS {f}" for f in names if f != "extract_links")
+    told = spark.sql(f"SELECT page_id, url AS address, html, {every} FROM tidemark_pages").withColumn("seen", F.size("page_hrefs") <= F.regexp_count("html", F.lit("(?i)href")))
+    parts = {"scheme": "url_scheme", "host": "url_host", "path": "url_path", "query": "url_query", "parent": "url_parent", "redacted": "url_redacted", "md5": "content_md5", "sha256": "content_sha256", "backoff": "backoff_seconds", "splittable": "splittable"}
+    rest = F.coalesce(*[F.col(f).isNotNull() for f in names if f != "extract_links"], F.lit(True))
+    return told.select(F.col("address").alias("url"), *[F.col(c).alias(k) for k, c in parts.items()], (F.col("url_is_directory") == "true").alias("is_dir"), (F.col("seen") & rest).alias("has_html"), (F.col("chunk_count") > 0).alias("chunks"))
