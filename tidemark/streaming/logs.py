@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.headers import listing_signatures
+from ..operators.logs import failure_runs  # noqa: F401  a batch query; callers of this module may know it from here
 from ..session import checkpointed, discard, new_folder
 from ..sources.snapshots import load_snapshot, write_snapshot
 
