@@ -18,8 +18,10 @@ from .langid import held_out
 BUCKETS = 1 << 22
 #: The machine is fitted on at most about so many labelled documents of either label.
 SAMPLE_PER_LABEL = 8000
-#: Terms that the machine knows: those whose rate differs most between the labels.
+#: Terms that the machine knows: those whose rate differs most between the labels, alone or beside another term.
 TERMS = 8192
+#: Of the strongest and of the most frequent terms, so many each are looked at in pairs.
+PAIRED = 768
 FACTORS = 8
 STEM = 5
 
@@ -79,6 +81,22 @@ def train(rows: list[np.ndarray], label: np.ndarray, n_terms: int, factors: int
     return float(w0), w, v
 
 
+def interacting(rows: list, label: np.ndarray, terms: list[int], least_z: float = 5.0) -> list[int]:
+    """Those terms that tell beside another: among the rows that hold one term, the label's rate differs with and without
+    the other by `least_z` standard errors. Either term of such a pair counts."""
+    at = {t: i for i, t in enumerate(terms)}
+    x = np.zeros((len(rows), len(terms)), np.float32)
+    for i, ts in enumerate(rows):
+        x[i, [at[t] for t in ts if t in at]] = 1
+    n, a = x.T @ x, x[label == 1].T @ x[label == 1]  # rows that hold both terms, and those of them with label 1
+    m, c = np.diag(n)[:, None], np.diag(a)[:, None]
+    with np.errstate(all="ignore"):
+        p = c / m
+        z = np.abs(a / n - (c - a) / (m - n)) / np.sqrt(p * (1 - p) * (1 / n + 1 / (m - n)))
+    found = (np.nan_to_num(z, nan=0.0, posinf=0.0) > least_z) & (n >= 5) & (m - n >= 5)
+    return [terms[i] for i in np.flatnonzero(found.any(0) | found.any(1))]
+
+
 def term_counts(docs: DataFrame, known: DataFrame) -> DataFrame:
     """term, a, b: in how many of the labelled documents with label 1 and 0 each term occurs; term -1 counts the
     documents. Each task sums up its own documents, so a term costs one row a task. `known` (id_, toxic) is joined by
@@ -101,8 +119,9 @@ def term_counts(docs: DataFrame, known: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = SAMPLE_PER_LABEL, n_terms: int = TERMS) -> dict:
     """The machine, from docs (doc_id, text) and labels (doc_id, toxic).
 
-    The terms are those whose rates differ most between the labels, by counts over all labelled documents; a term that
-    differs nowhere alone is not among them. The machine is fitted on a bounded sample of either label, drawn from `labels` by a hash of doc_id. Only that
+    Terms are chosen by counts over all labelled documents, for rates that differ between the labels. A term may tell
+    nothing but beside another one, so the strongest and the most frequent terms are also looked at in pairs on the sample
+    (`interacting`), and those that tell in one are known too. The machine is fitted on a bounded sample of either label, drawn from `labels` by a hash of doc_id. Only that
     (two numbers a row, in a number bounded by the parameter) is broadcast to the texts, which are turned into hashed
     terms where they lie; one task then fits on those sparse rows. The driver gets the weights alone: `n_terms` x
     (factors + 1) numbers. Rows with a null label, text or doc_id teach nothing; of labels that share a doc_id the largest
@@ -128,19 +147,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_label: int = SAMPLE_PER_L
     n1, n0 = (max(n.a, 1), max(n.b, 1)) if n else (1, 1)
     rate = (F.col("a") + F.col("b") + 1) / (n1 + n0 + 2)
     score = F.abs(F.col("a") / n1 - F.col("b") / n0) / F.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0))
-    by = counts.where("term >= 0 AND a + b >= 3").select("term", score.alias("z"))
-    chosen = [r[0] for r in by.where("z > 3").orderBy(F.desc("z"), "term").limit(n_terms).collect()]
-    place = {t: i for i, t in enumerate(chosen)}
+    by = counts.where("term >= 0 AND a + b >= 3").select("term", (F.col("a") + F.col("b")).alias("n"), score.alias("z"))
+    strong = [r[0] for r in by.where("z > 3").orderBy(F.desc("z"), "term").limit(n_terms).collect()]
+    often = [r[0] for r in by.orderBy(F.desc("n"), "term").limit(PAIRED).collect()]
+    pairs = list(dict.fromkeys([*strong[:PAIRED], *often]))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
+        label = pdf["toxic"].to_numpy(dtype=np.float64)
+        known = list(dict.fromkeys([*strong, *interacting(list(pdf["terms"]), label, pairs)]))[:n_terms]
+        place = {t: i for i, t in enumerate(known)}
         rows = [np.array([place[t] for t in ts if t in place], dtype=np.int64) for ts in pdf["terms"]]
-        w0, w, v = train(rows, pdf["toxic"].to_numpy(dtype=np.float64), max(len(place), 1))
-        return pd.DataFrame({"w0": [w0], "w": [w.tobytes()], "v": [v.tobytes()]})
+        w0, w, v = train(rows, label, max(len(place), 1))
+        return pd.DataFrame({"w0": [w0], "w": [w.tobytes()], "v": [v.tobytes()], "known": [known]})
 
-    made = sample.withColumn("machine", F.lit("all")).groupBy("machine").applyInPandas(learn, "w0 double, w binary, v binary").first()
-    if made is None or not chosen:
+    made = sample.withColumn("machine", F.lit("all")).groupBy("machine").applyInPandas(learn, "w0 double, w binary, v binary, known array<int>").first()
+    if made is None:  # no labelled text
         return {"place": {}, "w0": -10.0, "w": np.zeros(1), "v": np.zeros((1, FACTORS))}
+    place = {t: i for i, t in enumerate(made.known)}
     w = np.frombuffer(made.w)
     return {"place": place, "w0": made.w0, "w": w, "v": np.frombuffer(made.v).reshape(len(w), -1)}
 
