@@ -95,7 +95,7 @@ def find_secrets(docs: DataFrame, owner: Column, repository: Column, max_owners:
     ranks = F.create_map(*[x for i, k in enumerate((*KINDS, "live", "shared")) for x in (F.lit(k), F.lit(i))])
     part = lambda s, i: F.split(s, ":")[i]
     keyed = F.transform(F.concat("base", F.coalesce("added", F.array().cast("array<string>"))), lambda s: F.struct(part(s, 1).cast("int").alias("at"), ranks[part(s, 0)].alias("rank"), s.alias("s")))
-    out = scanned.drop("candidates", "owner", "repository").join(small(staged(added), 128), "row", "left")
+    out = scanned.drop("candidates", "owner", "repository").join(small(staged(added), F.size("added") * 64 + 32), "row", "left")
     count = lambda k: F.coalesce(F.size(F.filter("added", lambda s: s.startswith(k))), F.lit(0)).cast("long")
     spans = F.array_join(F.transform(F.array_sort(keyed), lambda x: x["s"]), ",")
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"), F.greatest(count("live"), F.lit(0)).alias("n_live"), F.greatest(count("shared"), F.lit(0)).alias("n_shared"))
