@@ -186,23 +186,20 @@ def _rare_tokens(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Keys (key, d: doc, n, at) for sets in crowded buckets: their rarest tokens, rarest first, as many as it takes for
     any two that link to share one. In a group of edited copies these are the edits, which tell the copies apart.
 
-    Tokens are cut to 32 bits here, which halves what is shuffled: two that become equal can only bring sets together
-    that are then verified in full."""
+    Tokens are whole 64-bit hashes. They are spelt out of the sets anew for the counts and for the join with them, and
+    only what a set is looked up by is written."""
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tokens = np.frombuffer(raw.as_buffer(), np.int64).astype(np.int32)
+                tokens = np.frombuffer(raw.as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), doc)), pa.array(tokens)], ["doc", "token"])
 
-    tokens = staged(sets.select("doc", "shingles").mapInArrow(exploded, "doc long, token int"))
-    often = tokens.groupBy("token").agg(F.count("*").cast("int").alias("often"))
+    tokens = sets.select("doc", "shingles").mapInArrow(exploded, "doc long, token long")
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
     rare = tokens.join(often, "token").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t")).withColumn("n", F.size("t").cast("long"))
     prefix = F.slice("t", F.lit(1), (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int"))
-    keys = rare.select("doc", "n", F.posexplode(prefix).alias("at", "t")).select(F.col("t.token").cast("long").alias("key"), F.struct("doc", "n", "at").alias("d"))
-    found = staged(keys)
-    drop(tokens)
-    return found
+    return staged(rare.select("doc", "n", F.posexplode(prefix).alias("at", "t")).select(F.col("t.token").alias("key"), F.struct("doc", "n", "at").alias("d")))
 
 
 def _can_meet(num: int, den: int):
