@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, staged, table
+from .common import drop, spread, staged, table
 
 #: Grams are counted in so many hashed places (as a power of two) before any is spelt out; a bit each is broadcast.
 PLACE_BITS = 27
@@ -257,7 +257,7 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, share_pct:
     `share_pct` percent of their places are dropped. Arithmetic is in decimals of 38 digits. Ranks are a top-k a language,
     which each task cuts before the shuffle.
     """
-    text = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    text = spread(docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")))
     return ranked_phrases(staged(graph(text, longest, least, bits)), longest, least, share_pct, top)
 
 
