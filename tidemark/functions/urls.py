@@ -98,21 +98,46 @@ def _remove_dots(p: Column) -> Column:
     return F.when(p.rlike(r"(^|/)\.\.?$") & (F.size(kept) > 0), F.concat(joined, F.lit("/"))).otherwise(joined)
 
 
+def _split(url: Column, body: Callable[[Column], Column]) -> Column:
+    """body(p) with scheme (as written), netloc, path, query and fragment of a URL as p[0] to p[4], by one match."""
+    return _let(F.split(F.regexp_replace(url, URL_REGEX, "$1\uffff$2\uffff$3\uffff$4\uffff$5"), "\uffff"), body)
+
+
+def page_base(url: Column) -> Column:
+    """What the links of a page are resolved against, split once: scheme, host, site, path, folder, whole."""
+
+    def made(p: Column) -> Column:
+        site = F.concat(F.lower(p[0]), F.lit("://"), p[1])
+        bare = F.regexp_replace(p[1], r"(?s)^.*@", "")
+        name = F.lower(F.when(bare.startswith("["), F.regexp_extract(bare, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_extract(bare, r"^([^:]*)", 1)))
+        folder = F.when(p[2] == "", F.lit("/")).otherwise(F.substr(p[2], F.lit(1), F.length(p[2]) - F.length(F.substring_index(p[2], "/", -1))))
+        whole = F.concat(site, p[2], F.when(p[3] != "", F.concat(F.lit("?"), p[3])).otherwise(F.lit("")))
+        return F.struct(F.lower(p[0]).alias("scheme"), name.alias("host"), site.alias("site"), p[2].alias("path"), folder.alias("folder"), whole.alias("whole"))
+
+    return _split(url, made)
+
+
+def resolve_link(base: Column, href: Column) -> Column:
+    """A link against its page's `page_base`: fragment cut, blanks trimmed. Links with another scheme stay as they are."""
+
+    def resolved(link: Column) -> Column:
+        bare = F.substring_index(link, "?", 1)
+        tail = F.substr(link, F.length(bare) + 1)
+        joined = F.when(bare.startswith("/"), bare).otherwise(F.regexp_replace(F.concat(base["folder"], bare), "/+", "/"))
+        return F.trim(
+            F.when(link == "", base["whole"])
+            .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+            .when(link.startswith("//"), F.concat(base["scheme"], F.lit(":"), link))
+            .when(link.startswith("?"), F.concat(base["site"], base["path"], link))
+            .otherwise(F.concat(base["site"], _let(joined, _remove_dots), tail))
+        )
+
+    return _let(F.substring_index(F.trim(href), "#", 1), resolved)
+
+
 def resolve_url(base: Column, href: Column) -> Column:
-    """A link against its page: fragment cut, blanks trimmed. Links with another scheme stay as they are."""
-    link = F.regexp_replace(F.trim(href), r"(?s)#.*$", "")
-    site = F.concat(scheme(base), F.lit("://"), netloc(base))
-    root = F.when(path(base) == "", F.lit("/")).otherwise(path(base))
-    bare, tail = F.regexp_extract(link, r"(?s)^([^?]*)", 1), F.regexp_extract(link, r"(?s)^[^?]*(\?.*)?$", 1)
-    joined = F.when(bare.startswith("/"), bare).otherwise(F.regexp_replace(F.concat(F.regexp_extract(root, r"(?s)^(.*/)", 1), bare), "/+", "/"))
-    with_query = F.when(query(base) != "", F.concat(site, path(base), F.lit("?"), query(base))).otherwise(F.concat(site, path(base)))
-    return F.trim(
-        F.when(link == "", with_query)
-        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
-        .when(link.startswith("//"), F.concat(scheme(base), F.lit(":"), link))
-        .when(link.startswith("?"), F.concat(site, path(base), link))
-        .otherwise(F.concat(site, _remove_dots(joined), tail))
-    )
+    """A link against its page's URL; see `resolve_link`."""
+    return _let(page_base(base), lambda b: resolve_link(b, href))
 
 
 def percent_decode(col: Column) -> Column:
@@ -204,7 +229,7 @@ def target_root(base: Column, suffix: Column, max_filename_len: int = 255) -> Co
 def url_security_verdict(url: Column, base: Column) -> Column:
     """The first reason against a URL, or null. The URL is split once."""
     climbs = lambda c: c.contains("/..") | c.startswith("..")
-    parts = {"scheme": scheme(url), "netloc": netloc(url), "name": F.rtrim(host(url), F.lit(".")), "home": F.rtrim(host(base), F.lit(".")), "port": port(url), "path": path(url), "low": F.lower(url)}
+    parts = {"scheme": scheme(url), "netloc": netloc(url), "name": F.rtrim(host(url), F.lit(".")), "home": F.rtrim(host(base), F.lit(".")), "port": port(url), "path": path(url), "low": F.lower(url), "decoded": percent_decode(path(url))}
 
     def verdict(u: Column) -> Column:
         name, home, p, low = u["name"], u["home"], u["path"], u["low"]
@@ -221,11 +246,11 @@ def url_security_verdict(url: Column, base: Column) -> Column:
             .when(F.coalesce(u["port"].isin(BLOCKED_PORTS), F.lit(False)), F.lit("port"))
             .when(~inside, F.when(fused, F.lit("suffix attack")).otherwise(F.lit("other domain")))
             .when(climbs(p), F.lit("traversal"))
-            .when(low.contains("%2e") & F.lower(p).contains("%2e") & climbs(percent_decode(p)), F.lit("encoded traversal"))
+            .when(low.contains("%2e") & F.lower(p).contains("%2e") & climbs(u["decoded"]), F.lit("encoded traversal"))
             .when(url.contains("\0") | low.contains("%00"), F.lit("nul"))
             .when(url.rlike(r"[\r\n\t]"), F.lit("control"))
             .when(low.rlike("%0d|%0a|%09"), F.lit("encoded control"))
-            .when((F.lower(p).contains("%25") | F.lower(p).contains("%c0%af")) & climbs(percent_decode(percent_decode(p))), F.lit("double encoded traversal"))
+            .when((F.lower(p).contains("%25") | F.lower(p).contains("%c0%af")) & climbs(percent_decode(u["decoded"])), F.lit("double encoded traversal"))
         )
 
     return _let(F.struct(*[c.alias(k) for k, c in parts.items()]), verdict)

@@ -27,30 +27,39 @@ def anchor_hrefs(html: Column) -> Column:
     return F.filter(all_anchors(html), lambda h: (h != "") & ~h.rlike(_SKIPPED))
 
 
-def extract_links(pages: DataFrame, mode: str = "fast") -> DataFrame:
-    """url, pos, href. mode: `fast`, `anchor`, or `auto`, which takes anchors for pages up to 1 MiB."""
+def extract_links(pages: DataFrame, mode: str = "fast", *keep: str) -> DataFrame:
+    """url, pos, href, and the columns `keep` of pages. mode: `fast`, `anchor`, or `auto`, which takes anchors for pages up
+    to 1 MiB."""
     found = {"fast": hrefs, "anchor": anchor_hrefs}
     links = found[mode](F.col("html")) if mode in found else F.when(F.octet_length("html") > BIG_PAGE, hrefs(F.col("html"))).otherwise(anchor_hrefs(F.col("html")))
-    return pages.select("url", F.posexplode(links).alias("pos", "href"))
+    return pages.select("url", *keep, F.posexplode(links).alias("pos", "href"))
+
+
+def _resolved(pages: DataFrame, mode: str) -> DataFrame:
+    """url, base, pos, href, child_url: the page's URL is split once a page, before its links are dealt out."""
+    links = extract_links(pages.withColumn("_base", U.page_base(F.col("url"))), mode, "_base")
+    links = links.where(~F.col("href").isin("../", "./") & ~F.col("href").startswith("?"))
+    return links.withColumn("child_url", U.resolve_link(F.col("_base"), F.col("href")))
 
 
 def page_links(pages: DataFrame, mode: str = "fast") -> DataFrame:
     """url, pos, href, child_url, is_dir: navigation links skipped, the rest resolved."""
-    links = extract_links(pages, mode).where(~F.col("href").isin("../", "./") & ~F.col("href").startswith("?"))
-    told = links.withColumn("child_url", U.resolve_url(F.col("url"), F.col("href")))
-    return told.withColumn("is_dir", U.is_directory(F.col("child_url")))
+    return _resolved(pages, mode).withColumn("is_dir", U.is_directory(F.col("child_url"))).drop("_base")
 
 
 def in_base_scope(url: Column, base: Column) -> Column:
     """http(s), the base's site, and its path or below."""
-    top = F.rtrim(U.path(base), F.lit("/"))
-    return U.has_web_scheme(url) & (U.netloc(url) == U.netloc(base)) & ((F.rtrim(U.path(url), F.lit("/")) == top) | U.path(url).startswith(F.concat(top, F.lit("/"))))
+
+    def inside(p: Column, b: Column) -> Column:
+        top = F.rtrim(b[2], F.lit("/"))
+        return F.lower(p[0]).isin("http", "https") & (p[1] == b[1]) & ((F.rtrim(p[2], F.lit("/")) == top) | p[2].startswith(F.concat(top, F.lit("/"))))
+
+    return U.has_web_scheme(url) & U._split(url, lambda p: U._split(base, lambda b: inside(p, b)))
 
 
 def link_graph(pages: DataFrame) -> DataFrame:
     """host, n_links, n_in_scope, n_targets, n_dangling: what the pages of each host link to."""
-    site = lambda c: F.concat(U.scheme(c), F.lit("://"), U.netloc(c), F.lit("/"))
-    links = page_links(pages).withColumn("host", U.host(F.col("url"))).withColumn("inside", in_base_scope(F.col("child_url"), site(F.col("url"))))
+    links = _resolved(pages, "fast").select(F.col("_base.host").alias("host"), "child_url", in_base_scope(F.col("child_url"), F.concat("_base.site", F.lit("/"))).alias("inside"))
     known = pages.select(F.regexp_replace("url", r"[?#].*$", "").alias("known")).distinct()
     targets = links.groupBy("host", F.regexp_replace("child_url", r"[?#].*$", "").alias("target")).agg(F.count("*").alias("n"), F.count_if("inside").alias("inside"))
     joined = targets.join(known, F.col("target") == F.col("known"), "left")
