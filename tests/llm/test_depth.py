@@ -134,3 +134,25 @@ def test_centroids_and_cosines_in_plain_python(spark):
         assert r.score == pytest.approx(min(1, max(0, cosine[best])), abs=1e-4)
         assert r.lang_pred == model["langs"][best] or sorted(cosine)[-1] - sorted(cosine)[-2] < 1e-4
         assert r.rejected == (r.score < model["least"][best])
+
+
+def test_weights_reach_the_sampler(spark):
+    """Heavy repeats: estimates follow generalised Jaccard, and weights in one bin are sampled by their size."""
+    from tidemark.llm.fingerprint import likeness, signature
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    pairs = []
+    for trial in range(60):
+        base = [word() for _ in range(6)]
+        a, b = base * rng.choice([40, 200, 1000]), base * rng.choice([40, 200, 1000])
+        a, b = a + [word() for _ in range(rng.randrange(0, 1500))], b + [word() for _ in range(rng.randrange(0, 1500))]
+        pairs.append((trial, " ".join(a), " ".join(b)))
+    df = spark.createDataFrame(pairs, "i int, a string, b string").select("i", likeness(signature(F.col("a")), signature(F.col("b"))).alias("x"))
+    got = {r.i: r.x for r in df.collect()}
+    off = []
+    for i, a, b in pairs:
+        wa, wb = (collections.Counter(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for t in (a, b))
+        keys = set(wa) | set(wb)
+        off.append(got[i] - sum(min(wa[k], wb[k]) for k in keys) / sum(max(wa[k], wb[k]) for k in keys))
+    assert abs(sum(off) / len(off)) < 0.04 and max(map(abs, off)) < 0.2

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, staged, table, words_of
+from .common import let, small, staged, table, words_of
 
 BINS = 128
 SHINGLE = 5
@@ -23,40 +23,46 @@ def _shingles(text: Column, n: int) -> Column:
     return let(F.transform(words_of(text), lambda w: F.xxhash64(w)), lambda h: F.sort_array(of(h)))
 
 
-def _occurrences(s: Column) -> Column:
-    """The values of a sorted array, each but the first of equal ones hashed with its number among them: a weight of w is
-    w terms of weight 1, of which two texts share as many as the lesser weight. The Jaccard similarity of these sets is
-    the generalised one of the weights."""
-
-    def split(h: Column, w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), w - 1), lambda k: F.when(k == 0, h).otherwise(F.xxhash64(h, k)))
-
+def _runs(s: Column, body) -> Column:
+    """body(value, count) for each run of equal values of a sorted array."""
     starts = F.filter(F.transform(s, lambda h, i: F.when(i == 0, i).when(h != F.get(s, i - 1), i)), lambda i: i.isNotNull())
-    return let(starts, lambda p: F.flatten(F.transform(p, lambda i, j: split(F.get(s, i), F.coalesce(F.get(p, j + 1), F.size(s)) - i))))
+    return let(starts, lambda p: F.transform(p, lambda i, j: body(F.get(s, i), F.coalesce(F.get(p, j + 1), F.size(s)) - i)))
 
 
 def signature(text: Column, bins: int = BINS, n: int = SHINGLE) -> Column:
     """The fingerprint of a whole text (null: as an empty one): for each bin the 24-bit name of its sample, -1 for a
     bin without a term. Equal texts have equal fingerprints.
 
-    A shingle of weight w is w terms of weight 1. Terms are dealt to bins by their hash, and each bin keeps one consistent
-    sample: with r and c drawn from Gamma(2, 1) and b from (0, 1) by the term's hash, a = c exp(r b - r) (at weight 1),
-    and the term of least a is the bin's sample. All terms weigh the same, so the share of bins on which two texts agree
-    estimates their generalised Jaccard similarity, also where bins hold few terms. As a depends on the term alone, a
-    itself names the sample. (Binning needs one draw a term instead of one for each term and bin.)
+    Each occurrence of a shingle is dealt to a bin by the shingle's hash and the occurrence's number, so two texts that
+    hold a shingle deal as many occurrences alike as the lesser of them holds, and a bin holds a shingle with a weight w,
+    the number of its occurrences there. A bin keeps one consistent weighted sample: with r and c drawn from Gamma(2, 1)
+    and b from (0, 1) by the hash of (shingle, bin), t = floor(ln w / r + b) and ln a = ln c - r (t - b) - r; the least
+    a is the bin's sample. It is the same (shingle, t) in two texts as often as their weights in the bin are alike, so
+    the share of bins on which texts agree estimates their generalised Jaccard similarity, also where bins hold little.
+    a differs for each (shingle, t), so it names the sample. (One draw a shingle and bin it lies in, not one for each bin.)
     """
     part = lambda x, at: F.shiftrightunsigned(x, at).bitwiseAND(0xFFFFFF) + F.lit(0.5)  # noqa: E731  24 random bits
     gamma = lambda x, p, q: F.lit(48 * math.log(2)) - F.ln(part(x, p) * part(x, q))  # noqa: E731  -ln(u v) of two uniforms
 
-    def place(h: Column) -> Column:
-        """One number for a term: its bin, and within the bin the order of ln a (which lies well between -100 and 28)."""
-        x, y = h, F.xxhash64(h)  # the bin takes the lowest 7 bits of h
+    def number(home: Column, x: Column, w: Column | None) -> Column:
+        """One number for a shingle in a bin: the bin, and within it the order of ln a (well between -100 and 28)."""
+        y = F.xxhash64(x)
         b = F.shiftrightunsigned(y, 48) / F.lit(float(1 << 16))
-        log_a = F.ln(gamma(y, 0, 24)) + gamma(x, 8, 32) * (b - 1)
-        return F.pmod(h, F.lit(bins)) * 128 + F.greatest(log_a + 100, F.lit(0.0))
+        r = gamma(x, 8, 32)
+        log_a = F.ln(gamma(y, 0, 24)) + r * (b - 1)
+        log_a = log_a if w is None else log_a - r * F.floor(F.ln(w) / r + b)
+        return home * 128 + F.greatest(log_a + 100, F.lit(0.0))
+
+    def once(h: Column) -> Column:
+        return number(F.pmod(h, F.lit(bins)), h, None)
+
+    def often(h: Column, n: Column) -> Column:
+        """A shingle of n occurrences: the first goes to the bin of its hash, each later one to that of its number too."""
+        homes = F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.pmod(F.when(k == 0, h).otherwise(F.xxhash64(h, k)), F.lit(bins))))
+        return let(homes, lambda bs: _runs(bs, lambda home, w: number(home, F.when(home == F.pmod(h, F.lit(bins)), h).otherwise(F.xxhash64(h, home)), w)))
 
     def keys(s: Column) -> Column:
-        return F.sort_array(F.transform(F.when(F.size(F.array_distinct(s)) == F.size(s), s).otherwise(_occurrences(s)), place))
+        return F.sort_array(F.when(F.size(F.array_distinct(s)) == F.size(s), F.transform(s, once)).otherwise(F.flatten(_runs(s, often))))
 
     bin_of = lambda x: F.floor(x / 128)
     firsts = let(let(_shingles(text, n), keys), lambda s: F.filter(s, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(s, i - 1)))))
@@ -119,7 +125,8 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     order = Window.partitionBy("part").orderBy(F.desc_nulls_last("doc_id"), "text")
     led = ranged.withColumn("found", signature(F.col("text"))).withColumn("next", F.lead(F.struct("text", "found")).over(order))
-    joined = led.join(F.broadcast(staged(first)), F.when(F.col("next").isNull(), F.col("part")) == F.col("of"), "left")
+    heads_ = small(staged(first), F.octet_length("head_text") + F.lit(64 + 4 * BINS))
+    joined = led.join(heads_, F.when(F.col("next").isNull(), F.col("part")) == F.col("of"), "left")
     return joined.select("doc_id", "text", "found", F.coalesce("next.text", "head_text").alias("next_text"), F.coalesce("next.found", "head_found").alias("next_found"))
 
 
