@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, small, staged
+from .common import drop, let_go, small, staged
 from .graph import connected_components
 
 
@@ -70,12 +70,14 @@ def linked_components(
     pairs = stars.where(can("x", "y")).union(two).groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.sum("weight").alias("shared"))
     first = staged(pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b")))
     found = staged(connected_components(verify(first)))
+    let_go(first.sparkSession)
 
     known = small(found, 16)
     label = inside.join(known, F.col("d.doc") == F.col("node"), "left").select("key", "d", "c", F.coalesce("component", "d.doc").alias("of"))
     several = staged(label.groupBy("key").agg(F.min("of").alias("p"), F.max("of").alias("q")).where("p <> q").select("key"))
     label = staged(label.join(small(several, 8), "key", "left_semi"))
     split = staged(finer(label) if finer else label.select("key", "d", "of"))
+    let_go(first.sparkSession)
     crossed = _crossing(split, can_finer or can)
     apart = two.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
     apart = apart.join(known, F.col("a") == F.col("node"), "left").select("a", "b", F.coalesce("component", "a").alias("oa"))

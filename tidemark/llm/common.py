@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import weakref
@@ -63,6 +64,13 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the driver find the frames that nothing refers to any more: Spark then deletes their shuffle files, which else
+    stay on the executors' disks until the driver happens to run out of room. For the end of a phase with a large shuffle."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def packed(docs: DataFrame, *plain: Column) -> DataFrame:
     """`doc`, the whole row as one struct, and the columns `plain`: no other column of docs can clash with a join's."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *plain)

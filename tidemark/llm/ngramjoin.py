@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import linked_components, shared_keys
-from .common import drop, packed, small, staged, table, unpacked
+from .common import drop, let_go, packed, small, staged, table, unpacked
 
 BAND_RATIO = 1.4
 #: The cost of a candidate pair, in keys.
@@ -242,7 +242,9 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     can = lambda x, y: F.greatest(f"{x}.n", f"{y}.n") * num <= F.least(f"{x}.n", f"{y}.n") * den
     read_ = staged(read.drop("keys"))
     two, inside = shared_keys(keys.select(F.explode("keys").alias("key"), F.struct(F.col("row").alias("doc"), "n").alias("d")), can)
+    del keys
     drop(read)  # the keys, several times the rest
+    let_go(docs.sparkSession)
     met = two.select(F.explode(F.array("x.doc", "y.doc")).alias("doc")).union(inside.select("d.doc")).distinct()
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
