@@ -7,7 +7,7 @@ those few rows, combined in order, give each chunk what to start from.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -88,21 +88,23 @@ def moving_average(rows: DataFrame, key: list[str], order: list[str], value: str
     A row is the map x -> keep x + (1 - keep) value, and a chunk of n rows the map x -> keep^n x + b, with b its own
     average from 0: maps that compose, so a chunk needs one pass and no row a list. A null value leaves the average.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*key, *order], kind="stable", na_position="first", ignore_index=True)
-        average, power, last, x, a = [], [], object(), 0.0, 1.0
-        for k, v in zip(zip(*[pdf[c].astype(object).where(pdf[c].notna(), None) for c in key]), pdf[value]):
-            if k != last:
-                last, x, a = k, 0.0, 1.0
-            if v == v and v is not None:
-                x, a = keep * x + (1 - keep) * float(v), keep * a
-            average.append(x)
-            power.append(a)
-        return pdf.assign(_x=average, _a=power)
-
-    def local(df: DataFrame, _: WindowSpec) -> DataFrame:
-        return df.groupBy("_chunk").applyInPandas(run, f"{_ddl(df)}, _x double, _a double")
+    rest = round(1 - keep, 12)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, x, a = object(), 0.0, 1.0
+        for pdf in batches:
+            average, power = [], []
+            for k, v in zip(zip(*[pdf[c].astype(object).where(pdf[c].notna(), None) for c in key]), pdf[value]):
+                if k != last:
+                    last, x, a = k, 0.0, 1.0
+                if v == v and v is not None:
+                    x, a = keep * x + rest * float(v), keep * a
+                average.append(x)
+                power.append(a)
+            yield pdf.assign(_x=average, _a=power)
+
+    def local(df: DataFrame, _: WindowSpec) -> DataFrame:  # a chunk is a partition, and streams in order
+        return df.sortWithinPartitions(*key, *order).mapInPandas(run, f"{_ddl(df)}, _x double, _a double")
 
     def combined(pdf: pd.DataFrame) -> pd.DataFrame:
         x, before = 0.0, []

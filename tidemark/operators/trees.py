@@ -27,8 +27,10 @@ def discover(edges: DataFrame, root: str, max_depth: int = 50, exclude: list[str
     """
     spark = edges.sparkSession
     inside = edges.where(F.col("child").startswith(root) & (F.col("child") != F.col("parent")) & (F.col("child") != root) & ~excluded_dir(F.col("child"), exclude or []))
+    inside = checkpointed(inside.select("parent", "child", F.col("pos").cast("int").alias("pos")))
     often = inside.groupBy("child").agg((F.count("*") > 1).alias("often"))
-    known = Bucketed(inside.join(often, "child").select("parent", "child", F.col("pos").cast("int").alias("pos"), "often"), "parent")
+    known = Bucketed(inside.join(often, "child").select("parent", "child", "pos", "often"), "parent")
+    discard(inside)
     frontier = spark.createDataFrame([(root, 0, [], False)], "dir_url string, depth int, ord array<int>, often boolean")
     levels = [frontier]
     for depth in range(1, max_depth + 1):
