@@ -83,7 +83,7 @@ def train(rows: list[np.ndarray], label: np.ndarray, n_terms: int, factors: int
 
 def interacting(rows: list, label: np.ndarray, terms: list[int], least_z: float = 5.0) -> list[int]:
     """Those terms that tell beside another: among the rows that hold one term, the label's rate differs with and without
-    the other by `least_z` standard errors. Either term of such a pair counts."""
+    the other by `least_z` standard errors, which speaks for the other one."""
     at = {t: i for i, t in enumerate(terms)}
     x = np.zeros((len(rows), len(terms)), np.float32)
     for i, ts in enumerate(rows):
@@ -94,7 +94,7 @@ def interacting(rows: list, label: np.ndarray, terms: list[int], least_z: float
         p = c / m
         z = np.abs(a / n - (c - a) / (m - n)) / np.sqrt(p * (1 - p) * (1 / n + 1 / (m - n)))
     found = (np.nan_to_num(z, nan=0.0, posinf=0.0) > least_z) & (n >= 5) & (m - n >= 5)
-    return [terms[i] for i in np.flatnonzero(found.any(0) | found.any(1))]
+    return [terms[i] for i in np.flatnonzero(found.any(0))]
 
 
 def term_counts(docs: DataFrame, known: DataFrame) -> DataFrame:
