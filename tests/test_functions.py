@@ -90,6 +90,21 @@ def test_names_tags_and_sizes(spark):
     assert run(spark, ["3665", "-1", "0.5"], lambda c: H.format_duration(c.cast("double"), True)) == ["1h 1m 5s", "unknown", "500ms"]
 
 
+def test_bytes_round_halves_to_even_as_python_prints_them(spark):
+    rng = random.Random(3)
+    values = [k / 8 * 1024.0**i for k in range(1, 40) for i in range(6)] + [1.005, 0.055, 0.125, 2.0**-3 + 2**-55, -1.125, -5000.125, 1023.995, 2.0**62, 1e22]
+    values += [round(rng.random() * 1000, 3) * 1024.0**i for i in range(6) for _ in range(100)] + [float(rng.randrange(1, 1 << rng.randrange(1, 63))) for _ in range(500)]
+
+    def shown(x):
+        for unit in ["B", "KB", "MB", "GB", "TB"]:
+            if x < 1024.0:
+                return f"{x:.2f} {unit}"
+            x /= 1024.0
+        return f"{x:.2f} PB"
+
+    assert run(spark, [repr(v) for v in values], lambda c: H.format_bytes(c.cast("double"))) == [shown(v) for v in values]
+
+
 def test_retry_after(spark):
     values = ["5", "0", "99", " 7 ", "Fri, 31 Jul 2026 07:00:10 GMT", "Fri, 31 Jul 2026 06:00:00 GMT", "Fri, 31 Jul 2027 07:00:00 GMT", "", "soon"]
     at = F.lit("2026-07-31 07:00:00").cast("timestamp")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -39,12 +39,33 @@ def backoff_seconds(attempt: Column, base: float = 1.0, most: float = MAX_DELAY,
     return wait if seed is None else wait + F.rand(seed) * F.least(wait * 0.1, F.lit(most) - wait)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    return F.transform(F.array(value), body)[0]
+
+
+def _two_places(v: Column) -> Column:
+    """A number to two places, as Python and C print it: by its exact binary value, halves to even. (Java's formatter
+    rounds halves of the decimal digits up.)"""
+
+    def exact(a: Column) -> Column:
+        scaled = (a - F.floor(a)) * float(1 << 52)
+        return _let(scaled, lambda x: _let(F.struct((F.floor(x) * 100 + F.floor((x - F.floor(x)) * 100.0)).alias("h"), ((x - F.floor(x)) * 100.0 > F.floor((x - F.floor(x)) * 100.0)).alias("more")), lambda h: cents(a, h)))
+
+    def cents(a: Column, h: Column) -> Column:
+        places, rest, half = F.shiftright(h["h"], 52), h["h"] % F.lit(1 << 52), F.lit(1 << 51)
+        up = (rest > half) | ((rest == half) & (h["more"] | (places % 2 == 1)))
+        return _let(F.floor(a) * 100 + places + F.when(up, 1).otherwise(0), lambda n: F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0")))
+
+    return F.when(F.abs(v) < float(1 << 53), exact(F.abs(v))).otherwise(F.format_string("%.2f", v))  # whole numbers beyond
+
+
 def format_bytes(n: Column) -> Column:
-    value, out = n.cast("double"), None
-    for i, unit in enumerate(["B", "KB", "MB", "GB", "TB"]):
-        shown = F.format_string(f"%.2f {unit}", value / float(1024**i))
-        out = F.when(value < float(1024 ** (i + 1)), shown) if out is None else out.when(value < float(1024 ** (i + 1)), shown)
-    return out.otherwise(F.format_string("%.2f PB", value / float(1024**5)))
+    """`1.50 KB`: in the largest unit that leaves at least 1, to two places, halves to even."""
+    unit = F.when(n.cast("double") < 1024.0, 0)
+    for i in range(1, 5):
+        unit = unit.when(n.cast("double") < float(1024 ** (i + 1)), i)
+    units = F.array(*[F.struct(F.lit(float(1024**i)).alias("size"), F.lit(f" {name}").alias("name")) for i, name in enumerate(["B", "KB", "MB", "GB", "TB", "PB"])])
+    return _let(F.get(units, unit.otherwise(5)), lambda u: _let(n.cast("double") / u["size"], lambda v: F.concat(_two_places(v), u["name"])))
 
 
 def format_duration(seconds: Column, show_ms: bool = False) -> Column:
