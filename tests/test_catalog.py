@@ -43,3 +43,10 @@ def test_same_rows_as_sql(spark, duck, name):
     assert sorted(columns) == sorted(df.columns)
     assert rows(df.columns, df.collect()) == rows(columns, told.fetchall())
 
+
+
+def test_edges_are_drawn_from_directories_not_files(spark):
+    """All expressions over edges meet a row a directory: nothing of the view reads the orders any more."""
+    from tidemark.plans.views import view
+
+    assert not [f for f in view(spark, DATA, "dir_edges").inputFiles() if f.endswith("orders.parquet")]
