@@ -164,3 +164,27 @@ def test_ranges_and_space(spark):
     plan = spark.createDataFrame([("v", 300 * mib, False)], "volume string, size long, streaming boolean")
     volumes = spark.createDataFrame([("v", 1000 * mib, 500 * mib), ("w", 1000 * mib, 990 * mib)], "volume string, total long, free long")
     assert {(r.volume, r.verdict) for r in X.space_verdict(plan, volumes).collect()} == {("v", "block"), ("w", "ok")}
+
+
+def test_snapshot_keeps_files_without_shuffling_them(spark):
+    from tidemark.streaming.logs import _files_of, _signatures
+
+    files = spark.createDataFrame([(f"{d}f{i}", d) for d in ("a/", "b/", "c/", None) for i in range(3)], "url string, dir_url string")
+    dirs = lambda *names: spark.createDataFrame([(n,) for n in names], "dir_url string")
+    for stay, gone in ((("a/", None), ("b/", "c/", "d/")), (("a/", "d/", "e/", None), ("b/", "c/"))):
+        kept = _files_of(files, dirs(*stay), dirs(*gone))
+        assert sorted(r.url or "-" for r in kept.where("dir_url IS NOT NULL").collect()) == ["a/f0", "a/f1", "a/f2"] and kept.where("dir_url IS NULL").count() == 3
+        assert "hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+    lines = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "y"), ("b", "x"), ("c", "x"), ("c", "x"), ("d", "x"), ("e", "y")], "dir_url string, line string")
+    told = {r.dir_url: r.signature for r in _signatures(lines.select("dir_url", F.md5("line").alias("line"))).collect()}
+    assert told["a"] == told["b"] and len(set(told.values())) == 4
+
+
+def test_verdicts_join_directories_narrowly(spark):
+    """What meets the directories' signatures has a file's URL, directory and two verdicts, not its tags, times and sizes."""
+    remote = spark.createDataFrame([], "url string, dir_url string, size long, last_modified timestamp, etag string, status int")
+    local = spark.createDataFrame([], "url string, size long, mtime timestamp, cached_etag string")
+    signatures = spark.createDataFrame([], "dir_url string, old_sig string, new_sig string")
+    plan = R.classify_freshness(remote, local, signatures)._jdf.queryExecution().analyzed().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "Join LeftOuter, (dir_url" in line)
+    assert "Project [url" in plan[at + 1] and "reason" in plan[at + 1] and " AS trusted" in plan[at + 1]

@@ -21,32 +21,26 @@ def classify_freshness(remote: DataFrame, local: DataFrame, signatures: DataFram
     remote: url, dir_url, size, last_modified, etag, status; local: url, size, mtime, cached_etag; signatures:
     dir_url, old_sig, new_sig. The rules hold in a strict order, each NULL-safe; what is unknown never means "current".
     `async` tests the directory before the local file, skips 403, 410 and 451, downloads on 404, compares ETags even
-    with no_etag, and has no size rule. Remote and local meet on url: one shuffle each; signatures join by directory.
+    with no_etag, and has no size rule. Remote and local meet on url: one shuffle each; then signatures (one row a directory) join the verdicts by directory.
     """
     have = local.select(F.col("url"), F.col("size").alias("local_size"), "mtime", "cached_etag", F.lit(True).alias("present"))
     joined = remote.join(have, "url", "left")
-    if signatures is None:
-        joined = joined.withColumn("unchanged", F.lit(False))
-    else:
-        same = signatures.select("dir_url", ((F.col("old_sig") == F.col("new_sig")) & ~F.col("new_sig").startswith("url:")).alias("unchanged"))
-        joined = joined.join(same, "dir_url", "left")
-    present, unchanged = F.col("present").isNotNull(), F.coalesce(F.col("unchanged"), F.lit(False))
+    present, directory = F.col("present").isNotNull(), "directory unchanged"
     status = F.coalesce(F.col("status"), F.lit(0))
     mine, theirs = normalize_etag(F.col("cached_etag")), normalize_etag(F.col("etag"))
     tags = (mine != "") & (theirs != "") & F.lit(variant == "async" or not no_etag)
     newer = F.unix_micros(F.col("last_modified").cast("timestamp")) > F.unix_micros(F.col("mtime").cast("timestamp")) + int(TOLERANCE_S * 1e6)
     size = F.coalesce(F.col("size"), F.lit(0))
     rules: list[tuple[Column, str]] = []
-    directory = (unchanged, "directory unchanged")
     if variant == "async":
-        rules.append(directory)
+        rules.append((F.lit(True), directory))
     rules.append((~present, "absent"))
     if missing_only:
         rules.append((F.lit(True), "present"))
     if not use_cache:
         rules.append(((size == F.col("local_size")) & (status == 200), "same size"))
     if variant != "async":
-        rules.append(directory)
+        rules.append((F.lit(True), directory))
     rules.append((status == 304, "not modified"))
     if variant == "async":
         rules += [(status.isin(403, 410, 451), "skipped"), (status == 404, "gone")]
@@ -60,12 +54,20 @@ def classify_freshness(remote: DataFrame, local: DataFrame, signatures: DataFram
     if variant == "async":
         rules.append((F.lit(True), "assumed current"))
     rules.append((size != F.col("local_size"), "size differs"))
-    chain = None
-    for test, name in rules:
-        chain = F.when(test, F.lit(name)) if chain is None else chain.when(test, F.lit(name))
-    reason = chain.otherwise(F.lit("same size"))
+
+    def first(of: list[tuple[Column, str]]) -> Column:
+        chain = F
+        for test, name in of:
+            chain = chain.when(test, F.lit(name))
+        return chain.otherwise(F.lit("same size"))
+
+    # Both verdicts are told before the directories are joined, so that join shuffles no more of a file than these.
+    changed = joined.select("url", "dir_url", first([r for r in rules if r[1] != directory]).alias("reason"), first(rules).alias("trusted"))
+    if signatures is not None:
+        same = signatures.where((F.col("old_sig") == F.col("new_sig")) & ~F.col("new_sig").startswith("url:")).select("dir_url", F.lit(True).alias("unchanged"))
+        changed = changed.join(same, "dir_url", "left").withColumn("reason", F.when(F.col("unchanged"), F.col("trusted")).otherwise(F.col("reason")))
     need = ["absent", "other status", "gone", "etag differs", "newer", "size differs"]
-    return joined.withColumn("reason", reason).select("url", F.col("reason").isin(need).alias("needs_download"), "reason")
+    return changed.select("url", F.col("reason").isin(need).alias("needs_download"), "reason")
 
 
 def diff_signatures(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions.headers import listing_signatures
 from ..operators.logs import failure_runs  # noqa: F401  a batch query; callers of this module may know it from here
 from ..session import checkpointed, discard, new_folder
 from ..sources.snapshots import load_snapshot, write_snapshot
@@ -184,9 +183,30 @@ def stream_table(spark: SparkSession, folder: str, name: str, files_a_batch: int
     return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(f"{folder}/{name}*")
 
 
+#: Directories of at most so many are sent whole to each executor (about 100 bytes each).
+BROADCAST_DIRS = 200_000
+
 SNAPSHOT = {"dirs": "dir_url string, signature string", "files": "url string, dir_url string, size long, last_modified timestamp, etag string, status int"}
 
 
+def _signatures(lines: DataFrame) -> DataFrame:
+    """dir_url, signature from (dir_url, line: an MD5 a file): the MD5 over the number of a directory's lines and the sums
+    of the four quarters of their MD5s. It doesn't depend on their order, so tasks sum up before the shuffle."""
+    quarter = lambda i: F.sum(F.conv(F.substring("line", 8 * i + 1, 8), 16, 10).cast("long"))
+    sums = lines.groupBy("dir_url").agg(F.count("*").alias("n"), *[quarter(i).alias(f"q{i}") for i in range(4)])
+    return sums.select("dir_url", F.concat(F.lit("content:"), F.md5(F.concat_ws(":", "n", "q0", "q1", "q2", "q3"))).alias("signature"))
+
+
+def _files_of(files: DataFrame, stay: DataFrame, gone: DataFrame) -> DataFrame:
+    """The snapshot's files of the directories `stay`, which are all but `gone`. The smaller of the two tables is sent to
+    the files if a count shows that it is small; then the files are not shuffled."""
+    n_stay, n_gone = stay.count(), gone.count()
+    how, side = ("left_semi", stay) if n_stay <= n_gone else ("left_anti", gone)
+    side = side.select(F.col("dir_url").alias("dir_"))
+    same = F.col("dir_url").eqNullSafe(F.col("dir_")) if how == "left_semi" else F.col("dir_url") == F.col("dir_")  # a null directory stays
+    return files.join(F.broadcast(side) if min(n_stay, n_gone) <= BROADCAST_DIRS else side, same, how)
+
+
 def incremental_reconcile(listing: DataFrame, local: Callable[[SparkSession], DataFrame], store: str, sink: Callable[[DataFrame, DataFrame, int], None], progress: str, schema_version: int = 1, variant: str = "sync") -> StreamingQuery:
     """Start a query that compares each batch of listings with the snapshot before it, and merges it into the next.
 
@@ -205,13 +225,14 @@ def incremental_reconcile(listing: DataFrame, local: Callable[[SparkSession], Da
         s = df.sparkSession
         now = checkpointed(df.select(*[F.col(name).cast(kind).alias(name) for name, kind in (f.split() for f in SNAPSHOT["files"].split(", "))]))
         old = {t: load_snapshot(s, store, schema, schema_version, 1 << 15, stamp(number), table=t, before=stamp(number)).select(*[f.split()[0] for f in schema.split(", ")]) for t, schema in SNAPSHOT.items()}
-        lines = now.select("dir_url", F.concat_ws("|", "url", F.coalesce("etag", F.lit("")), F.coalesce(F.col("last_modified").cast("string"), F.lit("")), F.coalesce("size", F.lit(0)).cast("string")).alias("line"))
-        dirs = checkpointed(listing_signatures(lines, "dir_url", "line").withColumn("signature", F.concat(F.lit("content:"), "signature")))
+        line = F.concat_ws("|", "url", F.coalesce("etag", F.lit("")), F.coalesce(F.col("last_modified").cast("string"), F.lit("")), F.coalesce("size", F.lit(0)).cast("string"))
+        dirs = checkpointed(_signatures(now.select("dir_url", F.md5(line).alias("line"))))
         before = old["dirs"].join(dirs.select("dir_url"), "dir_url", "left_semi")
         both = before.select("dir_url", F.col("signature").alias("old_sig")).join(dirs.select("dir_url", F.col("signature").alias("new_sig")), "dir_url")
         sink(diff_signatures(before, dirs), classify_freshness(now, local(s), both, variant=variant), number)
-        merged = {"dirs": old["dirs"].join(dirs.select("dir_url"), "dir_url", "left_anti").unionByName(dirs), "files": old["files"].join(dirs.select("dir_url"), "dir_url", "left_anti").unionByName(now)}
+        rest = checkpointed(old["dirs"].join(dirs.select("dir_url"), "dir_url", "left_anti"))
+        merged = {"dirs": rest.unionByName(dirs), "files": _files_of(old["files"], rest, dirs).unionByName(now)}
         write_snapshot(merged, store, schema_version, stamp(number))
-        discard(now, dirs)
+        discard(now, dirs, rest)
 
     return listing.writeStream.foreachBatch(batch).option("checkpointLocation", progress).trigger(availableNow=True).start()
