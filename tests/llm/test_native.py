@@ -224,6 +224,20 @@ def test_similar_lines_are_found(spark):
     assert len(rows) - 1 in gone
 
 
+def test_crowded_buckets_lose_no_pair(spark):
+    rng = random.Random(9)
+    rows, want = [], collections.Counter()
+    for k, of in enumerate(D.KEYS):
+        lanes = [[7 if j in of else rng.randrange(4) for j in range(D.PARTS)] for _ in range(D.CROWD + 18)]
+        rows += [(16 * 5 + k, 100 * k + i, sum(x << 4 * j for j, x in enumerate(lane)), len(lanes)) for i, lane in enumerate(lanes)]
+        want.update((100 * k + i, 100 * k + j) for i in range(len(lanes)) for j in range(i) if sum(a == b for a, b in zip(lanes[i], lanes[j])) >= D.AGREE)
+    label = spark.createDataFrame(rows, "key long, doc long, sim long, c long").select("key", F.struct("doc", F.lit(1).alias("n"), "sim").alias("d"), "c", F.col("doc").alias("of"))
+    split = D.split_crowds(label)
+    x, y = split.select("key", F.col("d").alias("x")), split.select("key", F.col("d").alias("y"))
+    met = x.join(y, "key").where((F.col("x.doc") > F.col("y.doc")) & (D.agreeing(F.col("x.sim"), F.col("y.sim")) >= D.AGREE) & D.first_met("x", "y"))
+    assert len(want) > 1000 and collections.Counter((r.a, r.b) for r in met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).collect()) == want
+
+
 def test_lines_of_an_empty_table(spark):
     assert D.dedup_lines(documents(spark, [])).count() == 0
 
