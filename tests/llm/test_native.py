@@ -238,6 +238,16 @@ def test_crowded_buckets_lose_no_pair(spark):
     assert len(want) > 1000 and collections.Counter((r.a, r.b) for r in met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).collect()) == want
 
 
+def test_unlike_lines_crowd_no_bucket(spark):
+    """Lines of common short words and rare long ones are keyed by the rare ones, so few of them share a key by chance."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    common = [word(4) for _ in range(30)]
+    rows = [(i, " ".join([rng.choice(common) for _ in range(40)] + [word(9) for _ in range(20)]), "s") for i in range(400)]
+    held = D.parted_lines(documents(spark, rows)).select("doc_id", F.explode(D.part_keys()).alias("key"))
+    assert held.groupBy("key").count().where(F.col("count") > D.CROWD).count() == 0
+
+
 def test_lines_of_an_empty_table(spark):
     assert D.dedup_lines(documents(spark, [])).count() == 0
 
