@@ -11,6 +11,7 @@ from array import array
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -147,6 +148,19 @@ def test_ids_as_the_tokenizer_gives_them(text):
     assert tokens.ids(text) == array("I", tokens.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
 
+def test_workers_keep_no_tokenizer(spark):
+    rows = documents(spark, [(i, f"some text {i}", "en") for i in range(40)]).repartition(8)
+    assert K.tokenized_pieces(rows, PATH).count() == 40
+
+    def kept(batches):
+        from tidemark.llm import packing
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(packing._loaded)] * batch.num_rows)], ["n"])
+
+    assert rows.select("doc_id").mapInArrow(kept, "n long").agg(F.max("n")).first()[0] == 0
+
+
 def test_packing_is_a_partition_of_the_ids(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(f"word{rng.randrange(500)}" for _ in range(rng.choice([0, 5, 60, 300, 900])))) for i in range(120)] + [(500, None), (501, "long text " * 4000), (502, ""), (7, "twice"), (7, "twice")]

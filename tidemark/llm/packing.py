@@ -87,6 +87,11 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _loaded[path]
 
 
+def _forget_tokenizers() -> None:
+    """For the end of a task. Workers outlive their tasks: the caches would else lie beside the memory of what runs next."""
+    _loaded.clear()
+
+
 def tokenized_pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = 0, with_ids: bool = True) -> DataFrame:
     """doc_id, row, piece, start, length, ids_crc32 and (if wanted) ids, the little-endian 32-bit ids of each piece.
 
@@ -98,17 +103,20 @@ def tokenized_pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokenizer(path)
-        for batch in batches:
-            out: list[list] = [[] for _ in range(6 + with_ids)]
-            for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                ids = tokens.ids(text.as_py() or "") + end
-                for piece, at in enumerate(range(0, len(ids), 4 * length)):
-                    part = ids[at : at + 4 * length]
-                    for column, value in zip(out, (doc, row, piece, at // 4, len(part) // 4, zlib.crc32(part), part)):
-                        column.append(value)
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            names = ["doc_id", "row", "piece", "start", "length", "ids_crc32", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names[: len(out)])
+        try:
+            for batch in batches:
+                out: list[list] = [[] for _ in range(6 + with_ids)]
+                for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                    ids = tokens.ids(text.as_py() or "") + end
+                    for piece, at in enumerate(range(0, len(ids), 4 * length)):
+                        part = ids[at : at + 4 * length]
+                        for column, value in zip(out, (doc, row, piece, at // 4, len(part) // 4, zlib.crc32(part), part)):
+                            column.append(value)
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                names = ["doc_id", "row", "piece", "start", "length", "ids_crc32", "ids"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names[: len(out)])
+        finally:
+            _forget_tokenizers()
 
     return docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), "text").mapInArrow(cut, schema)
 
