@@ -148,6 +148,14 @@ def test_ids_as_the_tokenizer_gives_them(text):
     assert tokens.ids(text) == array("I", tokens.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
 
+def test_language_of_a_text_within_its_row(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumnRenamed("text", "Text")
+    model = L.fit(docs.where(~L.held_out(4, 2)))
+    plain = {r.doc_id: (r.lang_pred, r.score) for r in L.identify(docs, model, "doc_id").collect()}
+    told = L.identify(docs.select(F.struct("*").alias("doc")), model, "doc", inside="doc")
+    assert {r.doc.doc_id: (r.lang_pred, r.score) for r in told.collect()} == plain and len(plain) == docs.count()
+
+
 def test_workers_keep_no_tokenizer(spark):
     rows = documents(spark, [(i, f"some text {i}", "en") for i in range(40)]).repartition(8)
     assert K.tokenized_pieces(rows, PATH).count() == 40

@@ -121,20 +121,22 @@ def fit(labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, centroids:
     return {"idf": idf, "centres": centre, "langs": [r.lang for r in made], "least": [r.least for r in made]}
 
 
-def identify(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
-    """The columns `keep`, and lang_pred, score (cosine to the nearest centroid, 0 to 1), rejected.
+def identify(docs: DataFrame, model: dict, *keep: str, inside: str | None = None) -> DataFrame:
+    """The columns `keep`, and lang_pred, score (cosine to the nearest centroid, 0 to 1), rejected. The text is the column
+    text of docs, or of its struct `inside`, one of `keep`, so that a text kept with its row is sent to Python once.
 
     Null text, or text without a letter: `und`, score 0, rejected. An empty model says `und` for all. Of centroids that
     are equally near, the first by language. Texts of any length count whole; repeated rows get equal results.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in keep]
+    place = [c.lower() for c in docs.schema[inside].dataType.names].index("text") if inside else 0
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
             langs, scores, rejected = [], [], []
-            for text in batch.column(batch.num_columns - 1):
+            for text in batch.column(keep.index(inside)).field(place) if inside else batch.column(batch.num_columns - 1):
                 c = ngram_counts(text.as_py() or "")
                 if c is None or not m["langs"]:
                     lang, score, reject = "und", 0.0, True
@@ -150,7 +152,7 @@ def identify(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, [*keep, "lang_pred", "score", "rejected"])
 
     told = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    return docs.select(*keep, F.col("text").alias("text_")).mapInArrow(predict, T.StructType([*fields, *told]))
+    return docs.select(*keep, *[] if inside else [F.col("text").alias("text_")]).mapInArrow(predict, T.StructType([*fields, *told]))
 
 
 def held_out(mod: int, rest: int):
