@@ -248,6 +248,31 @@ def test_unlike_lines_crowd_no_bucket(spark):
     assert held.groupBy("key").count().where(F.col("count") > D.CROWD).count() == 0
 
 
+def test_buckets_of_near_copies_stay_whole(spark):
+    """Under pairs of their parts near copies would all meet again, thirty times over; unlike lines hardly do."""
+    rng = random.Random(10)
+    lanes = lambda least: sum((7 if rng.random() < least else rng.randrange(16)) << 4 * j for j in range(D.PARTS))
+    n = D.CROWD + 30
+    members = [(key, 100 * key + i, lanes(least), n) for key, least in ((16, 0.9), (32, 0.0)) for i in range(n)]
+    label = spark.createDataFrame(members, "key long, doc long, sim long, c long").select("key", F.struct("doc", F.lit(1).alias("n"), "sim").alias("d"), "c", F.col("doc").alias("of"))
+    split = {r.near: r for r in D.split_crowds(label).groupBy((F.col("d.doc") < 2000).alias("near")).agg(F.count("*").alias("rows"), F.max("d.at").alias("at")).collect()}
+    assert (split[True].rows, split[True]["at"]) == (n, -1)
+    assert split[False].rows == 30 * n
+
+
+def test_letters_bound_the_distance(spark):
+    rng = random.Random(11)
+    text = lambda: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 8))) for _ in range(rng.randrange(3, 14)))
+    rows = [(text(), text()) for _ in range(150)]
+    rows += [(x, x[: len(x) // 2] + "zzz" + x[len(x) // 2 + 2 :]) for x, _ in rows] + [("a" * 129, "b"), ("été à z", "zzz")]
+    side = lambda c: F.struct(*[v.alias(f"c{i}") for i, v in enumerate(D.letter_counts(F.col(c)))])
+    both = spark.createDataFrame(rows, "a string, b string").withColumn("x", side("a")).withColumn("y", side("b"))
+    out = both.select("a", "b", D.letters_apart("x", "y").alias("least")).collect()
+    assert all((r.least is None) == (max(len(r.a), len(r.b)) > D.SHORT_LINE) for r in out)
+    assert all(r.least <= distance(r.a, r.b) for r in out if r.least is not None)
+    assert sum(r.least > 0.2 * max(len(r.a), len(r.b)) for r in out[:150]) > 100  # unlike lines are told apart
+
+
 def test_lines_of_an_empty_table(spark):
     assert D.dedup_lines(documents(spark, [])).count() == 0
 
